@@ -24,6 +24,12 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path, manifest).drop("ids")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import packing, records
+
+    return packing.pack(common.table(spark, sf_dir, "documents"), records.tokenizer_encode(tokenizer_path("byte_bpe_50k.json")), length=2048, end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
