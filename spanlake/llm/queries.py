@@ -24,6 +24,12 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path, manifest).drop("ids")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import fingerprints
+
+    return fingerprints.fingerprints(common.table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm import packing, records
 
