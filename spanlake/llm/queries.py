@@ -36,6 +36,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), records.tokenizer_encode(tokenizer_path("byte_bpe_50k.json")), length=2048, end_id=0)
 
 
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import simhash
+
+    return simhash.simhash_components(common.table(spark, sf_dir, "documents"), size=3, radius=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
