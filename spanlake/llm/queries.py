@@ -36,6 +36,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), records.tokenizer_encode(tokenizer_path("byte_bpe_50k.json")), length=2048, end_id=0)
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import warc
+
+    path = common.new_path(spark, "warc")
+    files = warc.write_warc(common.table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
+    return warc.read_warc(spark, path, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm import simhash
 
