@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import substrings
+
+    got = substrings.substring_dedup(common.table(spark, sf_dir, "documents"), size=13)
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm import records
 
