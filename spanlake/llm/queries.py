@@ -31,6 +31,13 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path, manifest).drop("ids")
 
 
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import additive
+
+    got = additive.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, metric="ip")
+    return got.withColumnRenamed("id", "vec_id")
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm import fingerprints
 
