@@ -50,6 +50,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import quality
+
+    return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).drop("th")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm import packing, records
 
