@@ -62,6 +62,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), records.tokenizer_encode(tokenizer_path("byte_bpe_50k.json")), length=2048, end_id=0)
 
 
+def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import mixing
+
+    got = mixing.mix(common.table(spark, sf_dir, "documents"))
+    names = {"__topic": "topic", "__tokens": "tokens", "__weight": "weight", "__probability": "probability", "__sampled": "sampled"}
+    return got.select("doc_id", "source", "lang", *[F.col(a).alias(b) for a, b in names.items()])
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm import warc
 
