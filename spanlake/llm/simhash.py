@@ -126,3 +126,141 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2, id_col:
     least = labelled.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Groups by similarity, for filtering
+
+
+#: Classes a document's shingles are dealt to at least this many a class, tables, and the fewest classes (a power of two).
+CLASS, TABLES, LEAST = 5, 40, 3
+#: Members of a key that are compared with each other in similarity groups.
+PAIRS = 12
+
+
+def class_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of the SimHash fingerprints of parts of a document, for tables 0 .. TABLES - 1, at one or two levels.
+
+    A level has 2**level classes of CLASS to 2 * CLASS shingles; a document whose size is just over a level's lower bound
+    also counts at the level below, so documents of similar sizes meet. Where a level has fewer classes than
+    there are tables, the shingles are dealt again with another salt. Empty classes have no key."""
+    n = len(hashes)
+    if not n:
+        return []
+    level = max(LEAST, int(np.log2(max(1, n // CLASS))))
+    levels = [level] + ([level - 1] if level > LEAST and n * 0.8 < CLASS << level else [])
+    out = []
+    for at in levels:
+        salt = 0
+        for first in range(0, TABLES, 1 << at):
+            with np.errstate(over="ignore"):
+                h = (hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+            part = (h & np.uint64((1 << at) - 1)).astype(np.int64)
+            used = part < min(1 << at, TABLES - first)
+            part, inside = part[used], hashes[used]
+            bits = np.unpackbits(inside.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            count = np.bincount(part, minlength=1 << at)
+            ones = np.zeros((len(count), BITS), np.int64)
+            np.add.at(ones, part, bits)
+            prints = np.packbits(ones * 2 > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
+            for t in np.flatnonzero(count):
+                out.append(xxhash.xxh64_intdigest(int(prints[t]).to_bytes(8, "little") + bytes((at, first + int(t)))) - (1 << 63))
+            salt += 1
+    return out
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fps, sets, keys = [], [], []
+        for t in b.column("t").to_pylist():
+            h = np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t, size)], "<u8"))
+            ones = np.zeros(BITS, np.int64)
+            for i in range(0, len(h), 1 << 16):
+                ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            fps.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]) if len(h) else 0)
+            sets.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
+            keys.append(class_keys(h))
+        yield pa.RecordBatch.from_arrays([b.column("d"), b.column("th"), pa.array(fps, pa.int64()), pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["d", "th", "fp", "s", "keys"])
+
+
+def jaccard(a: str, b: str, size: int) -> float:
+    x, y = set(shingles(a, size)), set(shingles(b, size))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the members (k, s) of small keys, and the members of large ones."""
+    sizes = members.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    met = common.materialise(members.join(sizes, "k"), "met")
+    few = met.filter(F.col("n") <= PAIRS).groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b < a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return few.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), met.filter(F.col("n") > PAIRS).select("k", "s")
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d, th, first_d, first_th) of every row: its id, the hash of its text, and the row of its group that comes first.
+
+    Groups are the components of verified links: documents whose sets of `size`-word shingles have a Jaccard similarity
+    of `similarity` or more. Equal sets (texts without words, too) are one. Candidates come from the covering tables
+    of the whole fingerprints, which miss no pair within radius bits, and, as lower similarities differ in more bits
+    than masks can cover, from SimHash fingerprints of classes of the shingles (see class_keys). Keys with many
+    members are split by a second class; what still is large is compared with its first member, round by
+    round, until all have been. Null ids come last."""
+    spark = docs.sparkSession
+    common.bound_batches(spark)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+    rows = common.materialise(texts.select("d", "th", "t").mapInArrow(lambda it: _sets(it, size), "d long, th long, fp long, s long, keys array<long>"), "sets")
+    first = rows.groupBy("s").agg(F.min(F.struct("d", "th", "fp", "keys")).alias("f"))
+    nodes = common.materialise(first.select("s", "f.d", "f.th", "f.fp", "f.keys"), "nodes")
+
+    # whole fingerprints: nodes of one fingerprint are linked through the smallest of them
+    prints = nodes.groupBy("fp").agg(F.min("s").alias("hub"))
+    same = nodes.join(prints, "fp").filter("s != hub").select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b"))
+    near = links(prints.select("fp"), radius)
+    of_u, of_v = prints.select(F.col("fp").alias("u"), F.col("hub").alias("x")), prints.select(F.col("fp").alias("v"), F.col("hub").alias("y"))
+    whole = near.join(of_u, "u").join(of_v, "v").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+    # classes; large keys again by every second class
+    keyed = nodes.select("s", F.explode("keys").alias("k"))
+    pairs, large = _candidates(keyed)
+    second = large.join(nodes.select("s", "keys"), "s").select("s", "k", F.explode("keys").alias("k2")).filter("k2 > k").select("s", F.xxhash64("k", "k2").alias("k"))
+    pairs2, rest = _candidates(second.distinct())
+    found = _verified(pairs.union(pairs2).union(same).union(whole).distinct(), nodes, texts, size, similarity)
+    rest = common.materialise(rest.distinct(), "rest")
+    while rest.limit(1).count():
+        hubs = rest.groupBy("k").agg(F.min("s").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        asked = common.materialise(rest.join(hubs, "k").filter("s != hub"), "asked")
+        good = _verified(asked.select(F.col("s").alias("a"), F.col("hub").alias("b")).distinct(), nodes, texts, size, similarity)
+        found = common.materialise(found.union(good), "links")
+        rest = common.materialise(asked.join(good, (F.col("s") == F.col("a")) & (F.col("hub") == F.col("b")), "left_anti").select("k", "s"), "rest")
+    roots = components(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    labelled = nodes.select("s", "d", "th").join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "d", "th", F.coalesce("root", "s").alias("root"))
+    least = labelled.groupBy("root").agg(F.min(F.struct("d", "th")).alias("f"))
+    named = labelled.join(least, "root").select("s", F.col("f.d").alias("first_d"), F.col("f.th").alias("first_th"))
+    return rows.select("d", "th", "s").join(named, "s").select("d", "th", "first_d", "first_th")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are as similar as asked; written."""
+    pairs = common.materialise(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
+    places = nodes.join(asked, "s", "left_semi").select("s", "d", "th")
+    # equal rows have equal ids and texts
+    some = common.materialise(texts.join(places, ["d", "th"]).dropDuplicates(["s"]).select("s", "t"), "texts")
+    left, right = some.select(F.col("s").alias("a"), F.col("t").alias("x")), some.select(F.col("s").alias("b"), F.col("t").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [jaccard(x, y, size) >= similarity for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return common.materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+
+
+def near_dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of similar_groups(), the first by id, columns unchanged; of repeated equal rows one stays."""
+    groups = similar_groups(docs, size, similarity, radius, id_col, text_col)
+    stay = groups.filter("d = first_d and th = first_th").select(F.col("d").alias("__d"), F.col("th").alias("__th")).distinct()
+    key, th = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.withColumns({"__d": key, "__th": th}).join(stay, ["__d", "__th"], "left_semi")
+    return marked.dropDuplicates(["__d", "__th"]).select(*docs.columns)
