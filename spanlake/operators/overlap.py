@@ -30,7 +30,7 @@ class Binning:
     levels: int
 
     def width(self, level: int) -> int:
-        return self.size * LEVEL**level
+        return min(self.size * LEVEL**level, 1 << 62)
 
 
 def choose_binning(sides: Sequence[tuple[DataFrame, Column, Column]]) -> Binning:
@@ -42,11 +42,15 @@ def choose_binning(sides: Sequence[tuple[DataFrame, Column, Column]]) -> Binning
         if got.p is not None:
             middle.append(got.p)
             most = max(most, min(got.m, 2.0**62))
-    size = max(1, int(max(middle, default=1)) + 1)
+    size = min(max(1, int(max(middle, default=1)) + 1), 1 << 62)
+    return Binning(size, _levels(size, most))
+
+
+def _levels(size: int, longest: float) -> int:
     levels = 1
-    while size * LEVEL ** (levels - 1) * LOWEST < most:
+    while size * LEVEL ** (levels - 1) * LOWEST < longest and size * LEVEL ** (levels - 1) < 1 << 62:
         levels += 1
-    return Binning(size, levels)
+    return levels
 
 
 def _places(low: Column, high: Column, level: int, tag: str) -> Column:
@@ -55,10 +59,10 @@ def _places(low: Column, high: Column, level: int, tag: str) -> Column:
 
 def _listed(df: DataFrame, start: Column, end: Column, keys: list[Column], binning: Binning, integral: bool, home_tag: str, guest_tag: str) -> DataFrame:
     """df with __k0.. (keys), __lv, __bin and __tag: where its rows are listed."""
-    length = F.abs(end - start)
+    length = F.abs(end.cast("double") - start.cast("double"))
     home = F.lit(0)
     for level in range(binning.levels - 1):
-        home = F.when(length >= F.lit(binning.width(level) * LOWEST), F.lit(level + 1)).otherwise(home)
+        home = F.when(length >= F.lit(float(binning.width(level) * LOWEST)), F.lit(level + 1)).otherwise(home)
     places = []
     none = F.array().cast("array<struct<lv:int,bin:bigint,tag:string>>")
     for level in range(binning.levels):
@@ -174,10 +178,7 @@ def binned_pairs(left: DataFrame, right: DataFrame, lb: tuple[str, str], rb: tup
         binning = choose_binning([(left, ls, le), (right, rs, re)])
     elif not isinstance(binning, Binning):
         most = [df.agg(F.max(F.abs(e.cast("double") - s.cast("double")))).first()[0] or 0 for df, s, e in ((left, ls, le), (right, rs, re))]
-        levels = 1
-        while int(binning) * LEVEL ** (levels - 1) * LOWEST < max(most):
-            levels += 1
-        binning = Binning(int(binning), levels)
+        binning = Binning(int(binning), _levels(int(binning), max(most)))
     a = _listed(left, ls, le, [F.col(k) for k, _ in keys], binning, integral, ">", "<")
     b = _listed(right, rs, re, [F.col(k) for _, k in keys], binning, integral, "<", ">")
     b = b.withColumnsRenamed({f"__k{i}": f"__j{i}" for i in range(len(keys))} | {"__lv": "__lv2", "__bin": "__bin2", "__tag": "__tag2"})
