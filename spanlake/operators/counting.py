@@ -36,7 +36,7 @@ def ranks(events: DataFrame, asked: DataFrame, keys: list[str], pos: str, sums:
     held = events.groupBy(*keys, pos).agg(*[x.alias(n) for n, x in sums.items()])
     points = asked.select(*keys, pos).distinct()
     both = held.unionByName(points.select(*keys, pos, *[F.lit(0).cast(held.schema[n].dataType).alias(n) for n in sums]).withColumn("__asked", F.lit(1)), allowMissingColumns=True)
-    both = both.groupBy(*keys, pos).agg(*[F.sum(n).alias(n) for n in sums], F.max("__asked").alias("__asked"))
+    both = both.groupBy(*keys, pos).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums], F.max("__asked").alias("__asked"))
     both = both.withColumn("__b", floor_div(F.col(pos), _bin_size(events, pos), is_integral(events, F.col(pos))))
     inside = Window.partitionBy(*keys, "__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     bins = both.groupBy(*keys, "__b").agg(*[F.sum(n).alias(f"__{n}") for n in sums])
@@ -61,20 +61,26 @@ def _sides(left: DataFrame, right: DataFrame, on, lb, rb) -> tuple[DataFrame, Da
     return q, b, keys
 
 
-def _ask(q: DataFrame, events: DataFrame, keys: list[str], at: str, event: str, sums: dict[str, Column], names: dict[str, str]) -> DataFrame:
-    """q with the ranks of its column at among the events' column."""
-    found = ranks(events.select(*keys, F.col(event).alias("__p"), *[c for c in ("__s", "__e") if c != event and c in events.columns]), q.select(*keys, F.col(at).alias("__p")).dropna(), keys, "__p", sums)
-    found = found.select(*keys, F.col("__p").alias(at), *[F.col(a).alias(b) for a, b in names.items()])
-    return q.join(found, [*keys, at], "left")
+def _ask(q: DataFrame, b: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """q with e_<name>_le, e_<name>_lt at its ends and s_<name>_le, s_<name>_lt at its starts: ranks among b's bounds.
+
+    Sums are over events (__p, __on: 1 for a start, 0 for an end). Starts and ends of both sides are ranked in one pass."""
+    events = b.select(*keys, F.explode(F.array(F.struct(F.col("__s").alias("p"), F.lit(1).alias("o")), F.struct(F.col("__e").alias("p"), F.lit(0).alias("o")))).alias("x"))
+    events = events.select(*keys, F.col("x.p").alias("__p"), F.col("x.o").alias("__on"))
+    asked = q.select(*keys, F.explode(F.array("__s", "__e")).alias("__p")).dropna()
+    found = ranks(events, asked, keys, "__p", sums)
+    for at in ("__e", "__s"):
+        names = [F.col(f"{n}_{o}").alias(f"{at[2]}_{n}_{o}") for n in sums for o in ("le", "lt")]
+        q = q.join(found.select(*keys, F.col("__p").alias(at), *names), [*keys, at], "left")
+    return q
 
 
 def count_overlaps(left: DataFrame, right: DataFrame, on: Sequence[str | tuple[ColumnLike, ColumnLike]] | None = None, left_bounds=("start", "end"), right_bounds=("start", "end"), strict: bool = False, name: str = "n_overlaps") -> DataFrame:
     """left with the number of right intervals that overlap each row; every row stays, duplicates too."""
     q, b, keys = _sides(left, right, on, left_bounds, right_bounds)
-    n = {"n": F.count("*")}
-    q = _ask(q, b, keys, "__e", "__s", n, {"n_lt" if strict else "n_le": "__a"})
-    q = _ask(q, b, keys, "__s", "__e", n, {"n_le" if strict else "n_lt": "__z"})
-    count = F.coalesce("__a", F.lit(0)) - F.coalesce("__z", F.lit(0))
+    q = _ask(q, b, keys, {"bg": F.sum("__on"), "ed": F.sum(1 - F.col("__on"))})
+    begun, ended = ("e_bg_lt", "s_ed_le") if strict else ("e_bg_le", "s_ed_lt")
+    count = F.coalesce(begun, F.lit(0)) - F.coalesce(ended, F.lit(0))
     if strict:  # points at a row that is a point itself were taken off without having been counted
         points = b.filter("__s = __e").groupBy(*keys, "__s").agg(F.count("*").alias("__pt"))
         q = q.join(points, [*keys, "__s"], "left")
@@ -119,17 +125,17 @@ def coverage_sum(left: DataFrame, right: DataFrame, on=None, left_bounds=("start
 
     Length covered up to x, with multiplicity, is the sum of x - start over starts before x less the sum of x - end over ends before x."""
     q, b, keys = _sides(left, right, on, left_bounds, right_bounds)
-    sums = {"n": F.count("*"), "t": F.sum(_wide(F.col("__p")))}
-    for at, event, tag in (("__e", "__s", "es"), ("__e", "__e", "ee"), ("__s", "__s", "ss"), ("__s", "__e", "se")):
-        events = b.select(*keys, F.col(event))
-        q = _ask(q, events, keys, at, event, sums, {"n_le": f"__n{tag}", "t_le": f"__t{tag}", "n_lt": f"__m{tag}"})
-    zero = {c: F.coalesce(F.col(f"__{c}"), F.lit(0)) for c in (f"{x}{t}" for x in "ntm" for t in ("es", "ee", "ss", "se"))}
+    on, p = F.col("__on"), _wide(F.col("__p"))
+    q = _ask(q, b, keys, {"bg": F.sum(on), "ed": F.sum(1 - on), "tb": F.sum(F.when(on == 1, p)), "tz": F.sum(F.when(on == 0, p))})
+
+    def rank(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
 
     def upto(x: str, tag: str) -> Column:
-        return (_wide(F.col(x)) * zero[f"n{tag}s"] - zero[f"t{tag}s"]) - (_wide(F.col(x)) * zero[f"n{tag}e"] - zero[f"t{tag}e"])
+        return (_wide(F.col(x)) * rank(f"{tag}_bg_le") - rank(f"{tag}_tb_le")) - (_wide(F.col(x)) * rank(f"{tag}_ed_le") - rank(f"{tag}_tz_le"))
 
     covered = F.coalesce(upto("__e", "e") - upto("__s", "s"), F.lit(0)).cast("long")
-    count = F.when(F.col("__s").isNotNull(), zero["nes"] - zero["mse"]).otherwise(0).cast("long")
+    count = F.when(F.col("__s").isNotNull(), rank("e_bg_le") - rank("s_ed_lt")).otherwise(0).cast("long")
     return q.withColumn("__c", count).withColumn("__v", covered).select(*[F.col(f"`{c}`") for c in left.columns], F.col("__c").alias(count_name), F.col("__v").alias(name))
 
 
