@@ -123,39 +123,49 @@ def _few(rows: DataFrame) -> list:
 TARGETS: dict[str, dict[str, float] | float] = {"source": 0.7, "lang": 0.85, "topic": 0.85}
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float] = TARGETS, source: Column | None = None, lang: Column | None = None, topic: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __source, __lang, __topic, __tokens, __weight, __probability and __sampled added; every row stays.
+#: What identifies a document: its id (null: the largest number) and the hash of its text.
+KEY = ["__id", "__th"]
 
-    Null sources, languages and topics are categories named "". Empty and null texts weigh no tokens but have their
-    cell's weight (0 if the cell has no tokens at all). Rows of equal id and text are sampled together. An empty table
+
+def _key(id_col: str, text_col: str) -> dict[str, Column]:
+    return {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__th": F.xxhash64(F.col(text_col))}
+
+
+def weights(docs: DataFrame, targets: dict[str, dict[str, float] | float] = TARGETS, source: Column | None = None, lang: Column | None = None, topic: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per row of docs: its id, source, lang, topic, tokens, weight, probability, sampled, and the key columns.
+
+    The texts are read once: what is marked in them is written, and cells, weights and samples are made of that. Null
+    sources, languages and topics are categories named "". Empty and null texts weigh no tokens but have their cell's
+    weight (0 if the cell has no tokens at all). Rows of equal id and text are sampled together. An empty table
     gives no rows."""
     none = F.lit("")
     source = F.coalesce((F.col("source") if source is None else source).cast("string"), none)
     lang = F.coalesce((F.col("lang") if lang is None else lang).cast("string"), none)
     topic = F.coalesce((topic_of(F.col(text_col)) if topic is None else topic).cast("string"), none)
     tokens = F.coalesce((token_count(F.col(text_col)) if tokens is None else tokens).cast("long"), F.lit(0))
-    marked = docs.withColumns({"__source": source, "__lang": lang, "__topic": topic, "__tokens": tokens})
-    cells = marked.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").cast("double").alias("base"))
+    key = [c.alias(k) for k, c in _key(id_col, text_col).items()]
+    marked = common.materialise(docs.select(F.col(id_col).alias("doc"), *key, source.alias("source"), lang.alias("lang"), topic.alias("topic"), tokens.alias("tokens")), "marks")
+    cells = marked.groupBy("source", "lang", "topic").agg(F.sum("tokens").cast("double").alias("base"))
     factors, fl, ft, top = rake(common.materialise(cells, "cells"), targets)
     if factors.count() <= BROADCAST_SOURCES:
-        named = factors.select(F.col("source").alias("__source"), F.col("factor").alias("__factor"))
-        joined = marked.join(F.broadcast(named), "__source", "left")
+        joined = marked.join(F.broadcast(factors), "source", "left")
     else:  # a hot source's rows go to SALTS places
-        named = factors.select(F.col("source").alias("__source"), F.col("factor").alias("__factor"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-        joined = marked.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")).join(named, ["__source", "__salt"], "left").drop("__salt")
+        salted = factors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = marked.withColumn("salt", F.pmod(F.xxhash64("__id", "__th"), F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"], "left")
 
     def of(factor: dict[str, float], column: str) -> Column:
         if not factor:
             return F.lit(0.0)
         return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in factor.items() for x in kv]), F.col(column)), F.lit(0.0))
 
-    weight = F.coalesce("__factor", F.lit(0.0)) * of(fl, "__lang") * of(ft, "__topic")
-    out = joined.withColumn("__weight", weight).withColumn("__probability", F.least(F.col("__weight") / F.lit(top or 1.0), F.lit(1.0)))
-    key = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))
-    new = ["__source", "__lang", "__topic", "__tokens", "__weight", "__probability"]
-    return out.withColumn("__sampled", uniform(key) < F.col("__probability")).select(*docs.columns, *new, "__sampled")
+    out = joined.withColumn("weight", F.coalesce("factor", F.lit(0.0)) * of(fl, "lang") * of(ft, "topic"))
+    out = out.withColumn("probability", F.least(F.col("weight") / F.lit(top or 1.0), F.lit(1.0)))
+    out = out.withColumn("sampled", uniform(F.struct(*KEY)) < F.col("probability"))
+    return out.select(F.col("doc").alias(id_col), "source", "lang", "topic", "tokens", "weight", "probability", "sampled", *KEY)
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows, columns unchanged."""
-    return mix(docs, **options).filter("__sampled").select(*docs.columns)
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The sampled rows of docs, columns unchanged."""
+    some = weights(docs, id_col=id_col, text_col=text_col, **options).filter("sampled").select(*KEY).distinct()
+    marked = docs.withColumns(_key(id_col, text_col))
+    return marked.join(some, KEY, "left_semi").select(*docs.columns)

@@ -65,9 +65,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm import mixing
 
-    got = mixing.mix(common.table(spark, sf_dir, "documents"))
-    names = {"__topic": "topic", "__tokens": "tokens", "__weight": "weight", "__probability": "probability", "__sampled": "sampled"}
-    return got.select("doc_id", "source", "lang", *[F.col(a).alias(b) for a, b in names.items()])
+    return mixing.weights(common.table(spark, sf_dir, "documents")).drop(*mixing.KEY)
 
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,14 +75,15 @@ def test_margins_and_given_shares(spark):
 def test_odd_rows(spark, odd, limit, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
     docs = odd.union(spark.createDataFrame([(None, "no id", None, None, 5, "", 1)], odd.schema))
-    got = mixing.mix(docs)
-    assert got.count() == docs.count() and got.columns[: len(docs.columns)] == docs.columns
-    assert got.filter("__probability is null or __probability < 0 or __probability > 1 or __sampled is null").count() == 0
-    assert mixing.sample(docs).columns == docs.columns and mixing.sample(docs).count() == got.filter("__sampled").count()
+    got = mixing.weights(docs)
+    assert got.count() == docs.count()
+    assert got.filter("probability is null or probability < 0 or probability > 1 or sampled is null").count() == 0
+    kept = mixing.sample(docs)
+    assert kept.columns == docs.columns and kept.count() == got.filter("sampled").count()
 
 
 def test_no_rows(spark, none):
-    assert mixing.mix(none).count() == 0
+    assert mixing.weights(none).count() == 0 and mixing.sample(none).count() == 0
 
 
 def test_uniform_numbers(spark):
@@ -92,5 +93,6 @@ def test_uniform_numbers(spark):
 
 
 def test_no_python_on_the_main_path(spark):
-    plan = mixing.mix(common.table(spark, SF, "documents"))._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    for df in (mixing.weights(common.table(spark, SF, "documents")), mixing.sample(common.table(spark, SF, "documents"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
