@@ -115,6 +115,12 @@ def overlap_join(
     if how is None:
         raise ValueError("unknown join type")
     lb, rb, pairs = Bounds.of(left_bounds), Bounds.of(right_bounds), key_pairs(on)
+    if how in ("semi", "anti") and condition is None and not isinstance(strict, tuple) and algorithm != "native":
+        from spanlake.operators.counting import has_overlap
+
+        reversed_rows = [df.filter(F.col(f"`{b.start}`") > F.col(f"`{b.end}`")).limit(1).count() for df, b in ((left, lb), (right, rb))]
+        if not any(reversed_rows):  # counts know only intervals whose start isn't after their end
+            return has_overlap(left, right, on, lb, rb, strict, name="__hit").filter(F.col("__hit") if how == "semi" else ~F.col("__hit")).drop("__hit")
     l0 = prefixed(left, left_prefix).withColumns({"__ls": _moved(left, lb.start, left_prefix), "__le": _moved(left, lb.end, left_prefix)} | {f"__lk{i}": _moved(left, a, left_prefix) for i, (a, _) in enumerate(pairs)})
     r0 = prefixed(right, right_prefix).withColumns({"__rs": _moved(right, rb.start, right_prefix), "__re": _moved(right, rb.end, right_prefix)} | {f"__rk{i}": _moved(right, b, right_prefix) for i, (_, b) in enumerate(pairs)})
     predicate = overlaps(F.col("__ls"), F.col("__le"), F.col("__rs"), F.col("__re"), strict)
@@ -130,13 +136,6 @@ def overlap_join(
     if how == "inner":
         return inner.select(*lcols, *rcols)
     out = inner.select(*lcols, *rcols)
-    if how in ("semi", "anti") and condition is None and not isinstance(strict, tuple) and algorithm != "native":
-        from spanlake.operators.counting import has_overlap
-
-        reversed_rows = [df.filter(F.col(f"`{b.start}`") > F.col(f"`{b.end}`")).limit(1).count() for df, b in ((left, lb), (right, rb))]
-        if any(reversed_rows):  # counts know only intervals whose start isn't after their end
-            return _unmatched(left, out, left_prefix, how)
-        return has_overlap(left, right, on, lb, rb, strict, name="__hit").filter(F.col("__hit") if how == "semi" else ~F.col("__hit")).drop("__hit")
     if how in ("semi", "anti"):
         return _unmatched(left, out, left_prefix, how)
     if how in ("left", "full"):
