@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.llm import common
@@ -204,8 +204,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     of `similarity` or more. Equal sets (texts without words, too) are one. Candidates come from the covering tables
     of the whole fingerprints, which miss no pair within radius bits, and, as lower similarities differ in more bits
     than masks can cover, from SimHash fingerprints of classes of the shingles (see class_keys). Keys with many
-    members are split by a second class; what still is large is compared with its first member, round by
-    round, until all have been. Null ids come last."""
+    members are split by a second class; members of what still is large are compared with the first and, if that isn't
+    similar, with PAIRS others beside them in the order of their whole fingerprints: work stays in proportion to the
+    members, and two similar texts have as many chances as they share pairs of classes. Null ids come last."""
     spark = docs.sparkSession
     common.bound_batches(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
@@ -226,13 +227,16 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     second = large.join(nodes.select("s", "keys"), "s").select("s", "k", F.explode("keys").alias("k2")).filter("k2 > k").select("s", F.xxhash64("k", "k2").alias("k"))
     pairs2, rest = _candidates(second.distinct())
     found = _verified(pairs.union(pairs2).union(same).union(whole).distinct(), nodes, texts, size, similarity)
+    # members of keys that two classes leave large: with the first, then with those before in the order of fingerprints
     rest = common.materialise(rest.distinct(), "rest")
-    while rest.limit(1).count():
-        hubs = rest.groupBy("k").agg(F.min("s").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        asked = common.materialise(rest.join(hubs, "k").filter("s != hub"), "asked")
-        good = _verified(asked.select(F.col("s").alias("a"), F.col("hub").alias("b")).distinct(), nodes, texts, size, similarity)
-        found = common.materialise(found.union(good), "links")
-        rest = common.materialise(asked.join(good, (F.col("s") == F.col("a")) & (F.col("hub") == F.col("b")), "left_anti").select("k", "s"), "rest")
+    hubs = rest.groupBy("k").agg(F.min("s").alias("hub"))
+    asked = rest.join(hubs, "k").filter("s != hub")
+    good = _verified(asked.select(F.col("s").alias("a"), F.col("hub").alias("b")).distinct(), nodes, texts, size, similarity)
+    left = asked.join(good, (F.col("s") == F.col("a")) & (F.col("hub") == F.col("b")), "left_anti").select("k", "s")
+    order = Window.partitionBy("k").orderBy("fp", "s").rowsBetween(-PAIRS, -1)
+    beside = left.join(nodes.select("s", "fp"), "s").withColumn("near", F.collect_list("s").over(order)).select(F.col("s").alias("a"), F.explode("near").alias("b"))
+    beside = beside.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = found.union(good).union(_verified(beside, nodes, texts, size, similarity))
     roots = components(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     labelled = nodes.select("s", "d", "th").join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "d", "th", F.coalesce("root", "s").alias("root"))
     least = labelled.groupBy("root").agg(F.min(F.struct("d", "th")).alias("f"))
