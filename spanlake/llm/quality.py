@@ -126,14 +126,15 @@ def _bend(z: np.ndarray) -> np.ndarray:
 
 
 def fit(row: np.ndarray, slot: np.ndarray, shape: np.ndarray, bad: np.ndarray, chosen: int = 800, ridge: float = 1.0, rounds: int = 12) -> Model:
-    """Choose the slots that differ most between the classes and fit by iterated least squares with a ridge."""
+    """Choose the slots that differ most between the classes and fit by iterated least squares with a ridge.
+
+    (text number, slot) pairs are distinct."""
     n, ones = len(bad), max(1, int(bad.sum()))
     middle, scale = shape.mean(0) if n else np.zeros(SHAPES), (shape.std(0) if n else np.ones(SHAPES)) + 1e-6
-    prior = float(np.log((bad.sum() + 0.5) / (n - bad.sum() + 0.5)))
+    prior = float(np.log((bad.sum() + 0.5) / (n - bad.sum() + 9.5)))  # without labels, one in twenty
     if not 0 < bad.sum() < n:  # one class, or no rows: nothing to learn
         return Model(np.zeros(SLOTS), np.zeros(3 * SHAPES), middle, scale, prior, prior)
-    pairs = np.unique(row * SLOTS + slot)
-    r, s = pairs // SLOTS, pairs % SLOTS
+    r, s = row, slot
     has1, has0 = np.bincount(s[bad[r]], minlength=SLOTS), np.bincount(s[~bad[r]], minlength=SLOTS)
     p, share = (has1 + has0) / n, has1 / ones - has0 / (n - ones)
     z = np.abs(share) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / ones + 1 / (n - ones)))
@@ -142,7 +143,7 @@ def fit(row: np.ndarray, slot: np.ndarray, shape: np.ndarray, bad: np.ndarray, c
     best = best[z[best] > 4]
     place = np.full(SLOTS, -1)
     place[best] = np.arange(len(best))
-    x = np.zeros((n, len(best) + 3 * SHAPES + 1))
+    x = np.zeros((n, len(best) + 3 * SHAPES + 1), np.float32)
     keep = place[s] >= 0
     x[r[keep], place[s[keep]]] = 1
     x[:, len(best) : -1] = _bend((shape - middle) / scale)
@@ -154,7 +155,11 @@ def fit(row: np.ndarray, slot: np.ndarray, shape: np.ndarray, bad: np.ndarray, c
     for _ in range(rounds):
         prob = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         weight = np.maximum(prob * (1 - prob), 1e-5)
-        step = np.linalg.solve((x * weight[:, None]).T @ x + np.diag(penalty), x.T @ (bad - prob) - penalty * w)
+        curve = np.diag(penalty)
+        for i in range(0, n, 1000):  # some rows at a time, so no second copy of x is held
+            part = x[i : i + 1000]
+            curve += (part * weight[i : i + 1000, None].astype(np.float32)).T @ part
+        step = np.linalg.solve(curve, x.T @ (bad - prob) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -170,11 +175,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     common.bound_batches(docs.sparkSession)
     # at most `sample` ids: a bounded broadcast
     rows = docs.join(F.broadcast(some), docs[id_col] == some["__id"]).select("__id", "__q", "__t", F.col(text_col).alias("__x"))
-    got = rows.mapInArrow(_lean, "q int, t int, row array<int>, shape array<double>").collect()
-    row = np.concatenate([np.full(len(g.row), k) for k, g in enumerate(got)]) if got else np.zeros(0, np.int64)
-    slot = np.concatenate([np.asarray(g.row, np.int64) for g in got]) if got else np.zeros(0, np.int64)
-    shape = np.array([g.shape for g in got]).reshape(-1, SHAPES)
-    return [fit(row, slot, shape, np.array([x for x in bad], bool)) for bad in ([g.q == 0 for g in got], [g.t == 1 for g in got])]
+    got = rows.mapInArrow(_lean, "q int, t int, slots binary, shape binary").collect()
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(g.slots) // 4 for g in got])
+    slot = np.frombuffer(b"".join([bytes(g.slots) for g in got]), "<i4")
+    shape = np.frombuffer(b"".join([bytes(g.shape) for g in got]), "<f8").reshape(-1, SHAPES)
+    classes = [np.array([g.q == 0 for g in got], bool), np.array([g.t == 1 for g in got], bool)]
+    del got
+    return [fit(row, slot, shape, bad) for bad in classes]
 
 
 def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +190,8 @@ def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, slot, shape = features(b.column("__x").to_pylist())
         pairs = np.unique(row * SLOTS + slot)
         cuts = np.searchsorted(pairs // SLOTS, np.arange(1, len(shape)))
-        found = np.split((pairs % SLOTS).astype(np.int32), cuts) if len(shape) else []
-        yield pa.RecordBatch.from_arrays([pa.array(b.column("__q").to_pylist(), pa.int32()), pa.array(b.column("__t").to_pylist(), pa.int32()), pa.array([f.tolist() for f in found], pa.list_(pa.int32())), pa.array(shape.tolist(), pa.list_(pa.float64()))], names=["q", "t", "row", "shape"])
+        found = np.split((pairs % SLOTS).astype("<i4"), cuts) if len(shape) else []
+        yield pa.RecordBatch.from_arrays([pa.array(b.column("__q").to_pylist(), pa.int32()), pa.array(b.column("__t").to_pylist(), pa.int32()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([x.astype("<f8").tobytes() for x in shape], pa.binary())], names=["q", "t", "slots", "shape"])
 
 
 def evidence(docs: DataFrame, models: list[Model], host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,8 +251,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     """doc_id, th, p_low_quality, p_toxic, keep of every row: keep is false where a posterior is over its threshold (a toxic document kept costs more than a clean one lost).
 
     host and path default to the source, and the source with the language. Null hosts and paths are sites of their
-    own; null texts are empty. Without labels of both classes there is no evidence and the site shares are the
-    training share. Repeated rows are judged each. An empty table gives no rows."""
+    own; null texts are empty. Without labels of both classes there is no evidence, and without
+    any label every document is kept. Repeated rows are judged each. An empty table gives no rows."""
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if path is None else path
     models = train(docs, labels, id_col, text_col)
