@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm import common
@@ -133,8 +133,10 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2, id_col:
 
 #: Classes a document's shingles are dealt to at least this many a class, tables, and the fewest classes (a power of two).
 CLASS, TABLES, LEAST = 5, 40, 3
-#: Members of a key that are compared with each other in similarity groups.
+#: Members of a key up to which pairs are listed in similarity groups; larger keys are compared in blocks.
 PAIRS = 12
+#: Shingles that a block of members of a large key has, about.
+BLOCK = 1 << 17
 
 
 def class_keys(hashes: np.ndarray) -> list[int]:
@@ -203,10 +205,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     Groups are the components of verified links: documents whose sets of `size`-word shingles have a Jaccard similarity
     of `similarity` or more. Equal sets (texts without words, too) are one. Candidates come from the covering tables
     of the whole fingerprints, which miss no pair within radius bits, and, as lower similarities differ in more bits
-    than masks can cover, from SimHash fingerprints of classes of the shingles (see class_keys). Keys with many
-    members are split by a second class; members of what still is large are compared with the first and, if that isn't
-    similar, with PAIRS others beside them in the order of their whole fingerprints: work stays in proportion to the
-    members, and two similar texts have as many chances as they share pairs of classes. Null ids come last."""
+    than masks can cover, from SimHash fingerprints of classes of the shingles (see class_keys). Every pair that has
+    a key in common is compared, or is in one group already: small keys list their pairs, large ones are dealt to
+    blocks, and blocks are compared with each other where their members aren't one group yet. Null ids come last."""
     spark = docs.sparkSession
     common.bound_batches(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
@@ -221,22 +222,17 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     of_u, of_v = prints.select(F.col("fp").alias("u"), F.col("hub").alias("x")), prints.select(F.col("fp").alias("v"), F.col("hub").alias("y"))
     whole = near.join(of_u, "u").join(of_v, "v").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
-    # classes; large keys again by every second class
-    keyed = nodes.select("s", F.explode("keys").alias("k"))
-    pairs, large = _candidates(keyed)
-    second = large.join(nodes.select("s", "keys"), "s").select("s", "k", F.explode("keys").alias("k2")).filter("k2 > k").select("s", F.xxhash64("k", "k2").alias("k"))
-    pairs2, rest = _candidates(second.distinct())
-    found = _verified(pairs.union(pairs2).union(same).union(whole).distinct(), nodes, texts, size, similarity)
-    # members of keys that two classes leave large: with the first, then with those before in the order of fingerprints
-    rest = common.materialise(rest.distinct(), "rest")
-    hubs = rest.groupBy("k").agg(F.min("s").alias("hub"))
-    asked = rest.join(hubs, "k").filter("s != hub")
-    good = _verified(asked.select(F.col("s").alias("a"), F.col("hub").alias("b")).distinct(), nodes, texts, size, similarity)
-    left = asked.join(good, (F.col("s") == F.col("a")) & (F.col("hub") == F.col("b")), "left_anti").select("k", "s")
-    order = Window.partitionBy("k").orderBy("fp", "s").rowsBetween(-PAIRS, -1)
-    beside = left.join(nodes.select("s", "fp"), "s").withColumn("near", F.collect_list("s").over(order)).select(F.col("s").alias("a"), F.explode("near").alias("b"))
-    beside = beside.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    found = found.union(good).union(_verified(beside, nodes, texts, size, similarity))
+    # classes
+    pairs, large = _candidates(nodes.select("s", F.explode("keys").alias("k")))
+    large = common.materialise(large.distinct(), "large")
+    asked = nodes.join(large.select("s").distinct(), "s", "left_semi").select("s", "d", "th")
+    sets = common.materialise(texts.join(asked, ["d", "th"]).dropDuplicates(["s"]).select("s", "t").mapInArrow(lambda it: _hashes(it, size), "s long, n long, h array<long>"), "hashes")
+    sizes = large.join(sets.select("s", "n"), "s").groupBy("k").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = common.materialise(large.join(sizes, "k").withColumn("i", _block("blocks")), "dealt")
+    inside = _joined(dealt.select("s", F.col("s").alias("root"), F.struct("k", F.col("i"), F.col("i").alias("j")).alias("place")), sets, similarity)
+    found = _verified(pairs.union(same).union(whole).union(inside).distinct(), nodes, texts, size, similarity)
+    if not dealt.filter("blocks > 1").isEmpty():
+        found = found.union(_verified(_across(dealt.filter("blocks > 1"), sets, found, similarity).distinct(), nodes, texts, size, similarity))
     roots = components(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     labelled = nodes.select("s", "d", "th").join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "d", "th", F.coalesce("root", "s").alias("root"))
     least = labelled.groupBy("root").agg(F.min(F.struct("d", "th")).alias("f"))
@@ -244,6 +240,68 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     return rows.select("d", "th", "s").join(named, "s").select("d", "th", "first_d", "first_th")
 
 
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("s"), F.col(blocks)).cast("int")
+
+
+def _hashes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles(t, size)], "<u8")).view("<i8") for t in b.column("t").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("s"), pa.array([len(h) for h in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["s", "n", "h"])
+
+
+def spanning(hashes: np.ndarray, lengths: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join those of different labels to the components of all similar pairs.
+
+    Sets lie one after the other in hashes. Each set outside the largest component is compared with all: of a pair in
+    different components one at least is outside."""
+    ids = np.unique(hashes, return_inverse=True)[1]
+    starts = np.cumsum(lengths) - lengths
+    label = np.unique(label, return_inverse=True)[1]
+    done, mark, out = np.zeros(len(lengths), bool), np.zeros(len(hashes), bool), []
+    while True:
+        left = np.flatnonzero((label != np.bincount(label).argmax()) & ~done)
+        if not len(left):
+            return out
+        q = left[0]
+        done[q] = True
+        own = ids[starts[q] : starts[q] + lengths[q]]
+        mark[own] = True
+        both = np.add.reduceat(mark[ids], starts, dtype=np.int64)
+        mark[own] = False
+        hit = np.flatnonzero((both / (lengths + lengths[q] - both) >= similarity) & (label != label[q]))
+        groups, firsts = np.unique(label[hit], return_index=True)
+        out += [(int(q), int(x)) for x in hit[firsts]]
+        label[np.isin(label, groups)] = label[q]
+
+
+def _joined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the members (s, root) of each place to the components of all similar pairs in it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        s, h = rows.column("s").to_numpy(), rows.column("h").combine_chunks()
+        found = spanning(h.flatten().to_numpy(), rows.column("n").to_numpy(), rows.column("root").to_numpy(), similarity)
+        a, b = np.array([s[x] for x, _ in found], np.int64), np.array([s[y] for _, y in found], np.int64)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return members.join(sets, "s").select("place", "s", "root", "n", "h").groupBy("place").applyInArrow(run, "a long, b long")
+
+
+def _across(dealt: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Links between members (k, s, blocks, i) in different blocks of a key: those outside its largest group with all."""
+    roots = components(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    named = common.materialise(dealt.join(roots.withColumnRenamed("node", "s"), "s", "left").select("k", "s", "blocks", "i", F.coalesce("root", "s").alias("root")), "named")
+    held = named.groupBy("k", "root").agg(F.count("*").alias("n"))
+    main = held.groupBy("k").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    main = main.select("k", F.col("m.root").alias("main"), (F.col("all") - F.col("m.n")).alias("out"), "all").filter("out > 0")
+    # blocks of those outside, in proportion to the blocks of all
+    some = named.join(main, "k").withColumn("outs", F.greatest(F.lit(1), F.ceil(F.col("blocks") * F.col("out") / F.col("all")).cast("int")))
+    outside = some.filter("root != main").withColumn("o", _block("outs")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = some.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).withColumn("j", F.col("i"))
+    cols = ["s", "root", F.struct("k", F.col("o").alias("i"), "j").alias("place")]
+    return _joined(outside.select(*cols).union(every.select(*cols)).distinct(), sets, similarity)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are as similar as asked; written."""
     pairs = common.materialise(pairs, "pairs")

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+import xxhash
 from conftest_llm import SF, rows
 
 from spanlake.llm import common, simhash
@@ -56,6 +59,30 @@ def test_large_group_of_near_copies(spark):
     assert kept == [0, *range(1000, 1060)]
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK if hasattr(simhash, "BLOCK") else 0, 9000])
+def test_copies_similar_to_the_original_only(spark, block, monkeypatch):
+    """Every copy that has a key in common with the original is in its group, however many have that key."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 601):
+        words = list(base)
+        for k in range(3):
+            words[50 * k + rng.randrange(5, 45)] = f"x{i}_{k}"
+        docs.append((i, " ".join(words)))
+
+    def keys(t):
+        return set(simhash.class_keys(np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in simhash.shingles(t, 5)], "<u8"))))
+
+    assert simhash.jaccard(docs[0][1], docs[1][1], 5) >= 0.8 > simhash.jaccard(docs[1][1], docs[2][1], 5)
+    own = keys(docs[0][1])
+    met = {i for i, t in docs if keys(t) & own}
+    assert len(met) > 560
+    got = {r.d: r.first_d for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert {i for i, f in got.items() if f == 0} >= met
+
+
 def test_odd_rows(spark, odd):
     docs = odd.union(spark.createDataFrame([(None, "no id", "en", "a", 5, "", 1), (None, None, "en", "a", 5, "", 1)], odd.schema))
     got = simhash.near_dedup(docs)
