@@ -25,6 +25,8 @@ from spanlake.llm import common
 #: Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+#: First lines of records that are read: any version.
+_VERSIONS = re.compile(rb"WARC/\d+\.\d+\r?\n")
 CRLF = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of one read, of a range of one reader task, and that a header fits in.
@@ -130,7 +132,7 @@ class _Window:
 def _is_record(window: _Window, at: int) -> bool:
     """Whether a member that decodes to a WARC header starts at this offset."""
     try:
-        return zlib.decompressobj(31).decompress(window.need(at, 512), len(VERSION)) == VERSION
+        return _VERSIONS.match(zlib.decompressobj(31).decompress(window.need(at, 512), 16)) is not None
     except zlib.error:
         return False
 
@@ -148,7 +150,7 @@ def _member(window: _Window, at: int) -> tuple[bytes, int]:
 
 
 def scan_range(store: pafs.FileSystem, name: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, data) of the records that start in [start, end)."""
+    """(offset, data) of the records that start in [start, end). A file with data and no record in its first range is refused."""
     with store.open_input_file(name) as f:
         size = f.size()
         window, at, end = _Window(f, start, size), start, min(end, size)
@@ -158,12 +160,14 @@ def scan_range(store: pafs.FileSystem, name: str, start: int, end: int) -> Itera
             if k < 0 or at + k >= end:
                 at += max(1, len(block) - len(MAGIC) + 1)
                 if len(block) < READ or k >= 0:
-                    return
+                    at = end
                 continue
             at += k
             if _is_record(window, at):
                 break
             at += 1
+        if start == 0 < size and at >= end:
+            raise ValueError(f"{name}: no WARC record in the first {end} bytes")
         while at < end:
             data, after = _member(window, at)
             yield at, data

@@ -67,3 +67,18 @@ def test_magic_in_data_is_no_record(tmp_path):
     for a in range(0, size, 101):
         found += [at for at, _ in warc.scan_range(fs.LocalFileSystem(), str(tmp_path / "f"), a, a + 101)]
     assert found == [sum(map(len, data[:k])) for k in range(20)]
+
+
+def test_records_of_other_versions(tmp_path):
+    """Records of WARC/1.0 are found from any offset; a file without records is refused, an empty one has none."""
+    data = [gzip.compress(b"WARC/1.0\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n" % k) for k in range(20)]
+    (tmp_path / "f").write_bytes(b"".join(data))
+    found = []
+    for a in range(0, sum(map(len, data)), 101):
+        found += [at for at, _ in warc.scan_range(fs.LocalFileSystem(), str(tmp_path / "f"), a, a + 101)]
+    assert found == [sum(map(len, data[:k])) for k in range(20)]
+    (tmp_path / "g").write_bytes(b"no record" * 50)
+    (tmp_path / "e").write_bytes(b"")
+    assert list(warc.scan_range(fs.LocalFileSystem(), str(tmp_path / "e"), 0, 101)) == []
+    with pytest.raises(ValueError):
+        list(warc.scan_range(fs.LocalFileSystem(), str(tmp_path / "g"), 0, 101))
