@@ -12,7 +12,7 @@ from spanlake.sources.readers import read_external
 
 #: Names of join strategies. In-memory structures all mean bins and give the same rows; coitreesnearest turns overlap joins
 #: into one row per right row with its nearest left row, and native leaves joins to Spark.
-ALGORITHMS = ("auto", "binned", "coitrees", "intervaltree", "arrayintervaltree", "lapper", "superintervals", "coitreesnearest", "coitreescountoverlaps", "native")
+ALGORITHMS = ("auto", "binned", "coitrees", "intervaltree", "arrayintervaltree", "lapper", "superintervals", "coitreesnearest", "native")
 DEFAULTS = {"prefer_interval_join": "true", "interval_join_algorithm": "auto", "interval_join_low_memory": "false", "interval_join_bin_size": "0"}
 PREFIX = "spanlake."
 _SET = re.compile(r"^\s*set\s+([\w.]+)\s*(?:to|=)\s*(.+?)\s*$", re.I | re.S)
@@ -57,6 +57,11 @@ def columns_ddl(text: str) -> str:
     return ", ".join(out)
 
 
+def _refuse_counting(algorithm: str) -> None:
+    if algorithm.lower() == "coitreescountoverlaps":
+        raise ValueError("joins aren't turned into counts; use operators.counting.count_overlaps")
+
+
 class IntervalSession:
     """Wraps a SparkSession. Settings are spanlake.* keys of its configuration, read anew for every query."""
 
@@ -76,6 +81,8 @@ class IntervalSession:
         if name not in DEFAULTS:
             self.spark.conf.set(key, value)
             return
+        if name == "interval_join_algorithm":
+            _refuse_counting(value)
         if name == "interval_join_algorithm" and value.lower() not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {value}; there are {', '.join(ALGORITHMS)}")
         if name in ("prefer_interval_join", "interval_join_low_memory") and value.lower() not in ("true", "false"):
@@ -85,6 +92,7 @@ class IntervalSession:
             self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000" if value.lower() == "true" else "10000")
 
     def _rewriter(self) -> Rewriter:
+        _refuse_counting(self.get("interval_join_algorithm"))
         size = int(self.get("interval_join_bin_size"))
         return Rewriter(self.spark, size or None, self.get("interval_join_algorithm") == "coitreesnearest")
 

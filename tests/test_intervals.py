@@ -250,3 +250,17 @@ def test_package_does_not_need_llm():
 
     root = pathlib.Path(spanlake.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "spanlake.llm" in p.read_text()]
+
+
+def test_counting_algorithm_is_refused(spark):
+    """Not accepted and then answered with overlap pairs."""
+    with pytest.raises(ValueError, match="count_overlaps"):
+        IntervalSession(spark).set("interval_join_algorithm", "CoitreesCountOverlaps")
+    session = IntervalSession(spark)
+    before = session.get("interval_join_algorithm")
+    spark.conf.set("spanlake.interval_join_algorithm", "coitreescountoverlaps")
+    try:
+        with pytest.raises(ValueError, match="count_overlaps"):
+            session.sql("SELECT 1 AS x")
+    finally:
+        spark.conf.set("spanlake.interval_join_algorithm", before)
