@@ -1,10 +1,11 @@
 """Counts, existence, coverage and nearest intervals without listing pairs.
 
 How many intervals overlap [s, e]: those that start at or before e, less those that end before s. Both are ranks
-of a position among positions, and so are sums of covered length. Ranks are found on distinct positions only -
-equal ones are added up before any shuffle - in two steps: running sums within the bins of a key, and running
-sums of whole bins. A bin has at most as many integer positions as it is wide, so no key or place gathers in one
-task however many rows it has, and the result joins back by equality on (keys, position).
+of a position among positions, and so are sums of covered length. Whether any does: the largest end among those that start
+at or before e is at least s. Ranks and largest ends are found on distinct positions only - equal ones are
+combined before any shuffle - in two steps: running values within the bins of a key, and over whole bins. Bins are
+quantiles of the positions of both sides, so each has about as many, however they crowd, spread or lie apart.
+The result joins back by equality on (keys, position).
 
 Rows whose start is after their end are no intervals here: they overlap nothing and nothing overlaps them. Null
 keys and bounds match nothing.
@@ -17,16 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.operators.bins import quantile_bins
 from spanlake.operators.overlap import Binning, binned_pairs, overlaps, prefixed
-from spanlake.operators.spec import Bounds, ColumnLike, floor_div, is_integral, key_pairs
-
-#: Bins that the positions of a key are cut into, about; only a matter of speed.
-BINS = 4096
-
-
-def _bin_size(df: DataFrame, pos: str) -> int:
-    got = df.agg(F.min(F.col(pos).cast("double")).alias("a"), F.max(F.col(pos).cast("double")).alias("b")).first()
-    return 1 if got.a is None else max(1, int((got.b - got.a) / BINS) + 1)
+from spanlake.operators.spec import Bounds, ColumnLike, key_pairs
 
 
 def ranks(events: DataFrame, asked: DataFrame, keys: list[str], pos: str, sums: dict[str, Column]) -> DataFrame:
@@ -37,7 +31,7 @@ def ranks(events: DataFrame, asked: DataFrame, keys: list[str], pos: str, sums:
     points = asked.select(*keys, pos).distinct()
     both = held.unionByName(points.select(*keys, pos, *[F.lit(0).cast(held.schema[n].dataType).alias(n) for n in sums]).withColumn("__asked", F.lit(1)), allowMissingColumns=True)
     both = both.groupBy(*keys, pos).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums], F.max("__asked").alias("__asked"))
-    both = both.withColumn("__b", floor_div(F.col(pos), _bin_size(events, pos), is_integral(events, F.col(pos))))
+    both = quantile_bins([(events, F.col(pos)), (asked, F.col(pos))])(both, pos)
     inside = Window.partitionBy(*keys, "__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     bins = both.groupBy(*keys, "__b").agg(*[F.sum(n).alias(f"__{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,10 +82,29 @@ def count_overlaps(left: DataFrame, right: DataFrame, on: Sequence[str | tuple[C
     return q.withColumn(name, F.coalesce(count, F.lit(0)).cast("long")).select(*[F.col(f"`{c}`") for c in left.columns], name)
 
 
+def reaching(left: DataFrame, right: DataFrame, keys: list[str], strict: tuple[bool, bool], name: str) -> DataFrame:
+    """left with whether a right row of equal keys satisfies left.__s <= right.__e and left.__e >= right.__s (strict: < and >).
+
+    Reversed rows count as the predicate says; null keys and bounds satisfy nothing."""
+    some = right.select(*keys, "__s", "__e").dropna()
+    ends = some.groupBy(*keys, F.col("__s").alias("__p")).agg(F.max("__e").alias("__to"))
+    asked = left.select(*keys, F.col("__e").alias("__p")).dropna().distinct()
+    both = ends.unionByName(asked.withColumn("__asked", F.lit(1)), allowMissingColumns=True)
+    both = both.groupBy(*keys, "__p").agg(F.max("__to").alias("__to"), F.max("__asked").alias("__asked"))
+    both = quantile_bins([(some, F.col("__s")), (left, F.col("__e"))])(both, "__p")
+    inside = Window.partitionBy(*keys, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1 if strict[1] else 0)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy(*keys, "__b").agg(F.max("__to").alias("__bt")).withColumn("__bt", F.max("__bt").over(before))
+    run = both.withColumn("__to", F.max("__to").over(inside)).filter("__asked = 1").join(bins, [*keys, "__b"])
+    found = run.select(*keys, F.col("__p").alias("__e"), F.greatest("__to", "__bt").alias("__to"))  # skips nulls
+    hit = F.col("__s") < F.col("__to") if strict[0] else F.col("__s") <= F.col("__to")
+    return left.join(found, [*keys, "__e"], "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__to")
+
+
 def has_overlap(left: DataFrame, right: DataFrame, on=None, left_bounds=("start", "end"), right_bounds=("start", "end"), strict: bool = False, name: str = "has_overlap") -> DataFrame:
     """left with whether any right interval overlaps each row."""
-    got = count_overlaps(left, right, on, left_bounds, right_bounds, strict, "__n")
-    return got.withColumn(name, F.col("__n") > 0).drop("__n")
+    q, b, keys = _sides(left, right, on, left_bounds, right_bounds)
+    return reaching(q, b, keys, (strict, strict), "__hit").select(*[F.col(f"`{c}`") for c in left.columns], F.col("__hit").alias(name))
 
 
 def merge_intervals(df: DataFrame, on: Sequence[str] | None = None, bounds=("start", "end"), gap: int = 0) -> DataFrame:
@@ -102,7 +115,7 @@ def merge_intervals(df: DataFrame, on: Sequence[str] | None = None, bounds=("sta
     by = keys or ["__all"]
     rows = rows if keys else rows.withColumn("__all", F.lit(0))
     held = rows.groupBy(*by, "__s").agg(F.max("__e").alias("__e"), F.count("*").alias("__n"))
-    held = held.withColumn("__b", floor_div(F.col("__s"), _bin_size(rows, "__s"), is_integral(rows, F.col("__s"))))
+    held = quantile_bins([(rows, F.col("__s"))])(held, "__s")
     inside = Window.partitionBy(*by, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bins = held.groupBy(*by, "__b").agg(F.max("__e").alias("__be")).withColumn("__be", F.max("__be").over(before))
@@ -184,7 +197,7 @@ def _neighbour(points: DataFrame, asked: DataFrame, keys: list[str], touching: b
     """keys, __p and __row of the last point before (or first after) each asked position; touching: or at it. Bins as in ranks()."""
     both = points.unionByName(asked.withColumn("__asked", F.lit(1)), allowMissingColumns=True)
     both = both.groupBy(*keys, "__p").agg(F.min("__row").alias("__row"), F.max("__asked").alias("__asked"))
-    both = both.withColumn("__b", floor_div(F.col("__p"), _bin_size(points, "__p"), is_integral(points, F.col("__p"))))
+    both = quantile_bins([(points, F.col("__p")), (asked, F.col("__p"))])(both, "__p")
     order, bins_order = (F.col("__p").asc(), F.col("__b").asc()) if last else (F.col("__p").desc(), F.col("__b").desc())
     inside = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if touching else -1)
     over = Window.partitionBy(*keys).orderBy(bins_order).rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.operators.spec import Bounds, ColumnLike, floor_div, is_integral, key_pairs
 
@@ -43,10 +44,11 @@ def choose_binning(sides: Sequence[tuple[DataFrame, Column, Column]]) -> Binning
             middle.append(got.p)
             most = max(most, min(got.m, 2.0**62))
     size = min(max(1, int(max(middle, default=1)) + 1), 1 << 62)
-    return Binning(size, _levels(size, most))
+    return Binning(size, levels_for(size, most))
 
 
-def _levels(size: int, longest: float) -> int:
+def levels_for(size: int, longest: float) -> int:
+    """Levels with which the longest interval has few bins."""
     levels = 1
     while size * LEVEL ** (levels - 1) * LOWEST < longest and size * LEVEL ** (levels - 1) < 1 << 62:
         levels += 1
@@ -115,12 +117,8 @@ def overlap_join(
     if how is None:
         raise ValueError("unknown join type")
     lb, rb, pairs = Bounds.of(left_bounds), Bounds.of(right_bounds), key_pairs(on)
-    if how in ("semi", "anti") and condition is None and not isinstance(strict, tuple) and algorithm != "native":
-        from spanlake.operators.counting import has_overlap
-
-        reversed_rows = [df.filter(F.col(f"`{b.start}`") > F.col(f"`{b.end}`")).limit(1).count() for df, b in ((left, lb), (right, rb))]
-        if not any(reversed_rows):  # counts know only intervals whose start isn't after their end
-            return has_overlap(left, right, on, lb, rb, strict, name="__hit").filter(F.col("__hit") if how == "semi" else ~F.col("__hit")).drop("__hit")
+    if how in ("semi", "anti") and condition is None and algorithm != "native":
+        return by_reach(left, right, pairs, lb, rb, strict, how)
     l0 = prefixed(left, left_prefix).withColumns({"__ls": _moved(left, lb.start, left_prefix), "__le": _moved(left, lb.end, left_prefix)} | {f"__lk{i}": _moved(left, a, left_prefix) for i, (a, _) in enumerate(pairs)})
     r0 = prefixed(right, right_prefix).withColumns({"__rs": _moved(right, rb.start, right_prefix), "__re": _moved(right, rb.end, right_prefix)} | {f"__rk{i}": _moved(right, b, right_prefix) for i, (_, b) in enumerate(pairs)})
     predicate = overlaps(F.col("__ls"), F.col("__le"), F.col("__rs"), F.col("__re"), strict)
@@ -137,20 +135,29 @@ def overlap_join(
         return inner.select(*lcols, *rcols)
     out = inner.select(*lcols, *rcols)
     if how in ("semi", "anti"):
-        return _unmatched(left, out, left_prefix, how)
+        return unmatched(left, out, left_prefix, how)
+    met = out
     if how in ("left", "full"):
-        alone = prefixed(_unmatched(left, out, left_prefix, "anti"), left_prefix)
-        inner = out = out.unionByName(alone, allowMissingColumns=True)
+        alone = by_reach(left, right, pairs, lb, rb, strict, "anti") if condition is None else unmatched(left, met, left_prefix, "anti")
+        out = out.unionByName(prefixed(alone, left_prefix), allowMissingColumns=True)
     if how in ("right", "full"):
-        pairs_only = out if how == "right" else _pairs_of(l0, r0, pairs, predicate, binning, algorithm, condition, lcols, rcols)
-        alone = prefixed(_unmatched(right, pairs_only, right_prefix, "anti"), right_prefix)
-        out = out.unionByName(alone, allowMissingColumns=True)
+        turned = (strict, strict) if not isinstance(strict, tuple) else strict
+        swapped = [(b, a) for a, b in pairs]
+        alone = by_reach(right, left, swapped, rb, lb, (turned[1], turned[0]), "anti") if condition is None else unmatched(right, met, right_prefix, "anti")
+        out = out.unionByName(prefixed(alone, right_prefix), allowMissingColumns=True)
     return out.select(*lcols, *rcols)
 
 
-def _pairs_of(l0, r0, pairs, predicate, binning, algorithm, condition, lcols, rcols) -> DataFrame:
-    inner = l0.join(r0, predicate) if algorithm == "native" else binned_pairs(l0, r0, ("__ls", "__le"), ("__rs", "__re"), [(f"__lk{i}", f"__rk{i}") for i in range(len(pairs))], predicate, binning)
-    return (inner.filter(condition(inner)) if condition is not None else inner).select(*lcols, *rcols)
+def by_reach(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], lb: Bounds, rb: Bounds, strict: bool | tuple[bool, bool], how: str) -> DataFrame:
+    """The left rows that have (semi) or lack (anti) a partner, without listing pairs; only keys and bounds are looked at."""
+    from spanlake.operators.counting import reaching
+
+    keys = [f"__k{i}" for i in range(len(pairs))] or ["__k0"]
+    own = [(F.col(f"`{a}`"), F.col(f"`{b}`")) for a, b in pairs] or [(F.lit(0), F.lit(0))]
+    q = left.withColumns({k: a for k, (a, _) in zip(keys, own)} | {"__s": F.col(f"`{lb.start}`"), "__e": F.col(f"`{lb.end}`")})
+    r = right.select(*[b.alias(k) for k, (_, b) in zip(keys, own)], F.col(f"`{rb.start}`").alias("__s"), F.col(f"`{rb.end}`").alias("__e"))
+    got = reaching(q, r, keys, strict if isinstance(strict, tuple) else (strict, strict), "__hit")
+    return got.filter(F.col("__hit") if how == "semi" else ~F.col("__hit")).select(*[F.col(f"`{c}`") for c in left.columns])
 
 
 def _moved(df: DataFrame, c: ColumnLike, prefix: str) -> Column:
@@ -160,12 +167,17 @@ def _moved(df: DataFrame, c: ColumnLike, prefix: str) -> Column:
     return F.col(f"`{prefix}{c}`")
 
 
-def _unmatched(side: DataFrame, pairs: DataFrame, prefix: str, how: str) -> DataFrame:
-    """Rows of a side by whether they are in pairs. Equal rows match alike, so values identify them; no row ids are made."""
-    seen = pairs.select(*[F.col(f"`{prefix}{c}`").alias(f"__m_{c}") for c in side.columns]).distinct()
+def unmatched(side: DataFrame, pairs: DataFrame, prefix: str, how: str) -> DataFrame:
+    """Rows of a side by whether they are in pairs. Equal rows match alike, so values identify them; no row ids are made.
+
+    Maps, which Spark doesn't compare, are compared as sorted entries."""
+    def plain(c: str, col: Column) -> Column:
+        return F.array_sort(F.map_entries(col)) if isinstance(side.schema[c].dataType, T.MapType) else col
+
+    seen = pairs.select(*[plain(c, F.col(f"`{prefix}{c}`")).alias(f"__m_{c}") for c in side.columns]).distinct()
     same = F.lit(True)
     for c in side.columns:
-        same &= side[c].eqNullSafe(seen[f"__m_{c}"])
+        same &= plain(c, side[c]).eqNullSafe(seen[f"__m_{c}"])
     return side.join(seen, same, "left_semi" if how == "semi" else "left_anti")
 
 
@@ -177,7 +189,7 @@ def binned_pairs(left: DataFrame, right: DataFrame, lb: tuple[str, str], rb: tup
         binning = choose_binning([(left, ls, le), (right, rs, re)])
     elif not isinstance(binning, Binning):
         most = [df.agg(F.max(F.abs(e.cast("double") - s.cast("double")))).first()[0] or 0 for df, s, e in ((left, ls, le), (right, rs, re))]
-        binning = Binning(int(binning), _levels(int(binning), max(most)))
+        binning = Binning(int(binning), levels_for(int(binning), max(most)))
     a = _listed(left, ls, le, [F.col(k) for k, _ in keys], binning, integral, ">", "<")
     b = _listed(right, rs, re, [F.col(k) for _, k in keys], binning, integral, "<", ">")
     b = b.withColumnsRenamed({f"__k{i}": f"__j{i}" for i in range(len(keys))} | {"__lv": "__lv2", "__bin": "__bin2", "__tag": "__tag2"})

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.operators.counting import BINS
-from spanlake.operators.overlap import binned_pairs, choose_binning, overlap_join, prefixed
+from spanlake.operators.bins import quantile_bins
+from spanlake.operators.overlap import LOWEST, Binning, choose_binning, levels_for, overlap_join, prefixed
 from spanlake.operators.spec import Bounds, floor_div, is_integral, key_pairs
 
 
@@ -16,18 +16,31 @@ def stab(points: DataFrame, intervals: DataFrame, on=None, point: str = "point",
 
 
 def contained_in(inner: DataFrame, outer: DataFrame, on=None, inner_bounds=("start", "end"), outer_bounds=("start", "end"), size: int | None = None, left_prefix: str = "l_", right_prefix: str = "r_") -> DataFrame:
-    """Pairs where the inner row lies within the outer one; the inner row is listed in the bin of its start alone."""
+    """Pairs where the inner row lies within the outer one.
+
+    An outer row is listed in the few bins it touches on the level of its length, an inner row in the bin of its start
+    on every level, so one very long outer row doesn't make the bins of all others wide."""
     pairs, ib, ob = key_pairs(on), Bounds.of(inner_bounds), Bounds.of(outer_bounds)
     a, b = prefixed(inner, left_prefix), prefixed(outer, right_prefix)
     s, e = (F.col(f"`{left_prefix}{c}`") for c in (ib.start, ib.end))
     os, oe = (F.col(f"`{right_prefix}{c}`") for c in (ob.start, ob.end))
     if size is None:
         binning = choose_binning([(b, os, oe)])
-        size = binning.width(binning.levels - 1)
+    else:
+        most = b.agg(F.max(oe.cast("double") - os.cast("double"))).first()[0] or 0
+        binning = Binning(size, levels_for(size, min(most, 2.0**62)))
     whole = is_integral(a, s) and is_integral(b, os, oe)
-    a = a.withColumn("__bin", floor_div(s, size, whole))
-    b = b.filter(os <= oe).withColumn("__bin2", F.explode(F.sequence(floor_div(os, size, whole), floor_div(oe, size, whole))))
-    same = (F.col("__bin") == F.col("__bin2")) & (s >= os) & (e <= oe)
+
+    def place(level: int, low: Column, high: Column) -> Column:
+        z = binning.width(level)
+        return F.transform(F.sequence(floor_div(low, z, whole), floor_div(high, z, whole)), lambda x: F.struct(F.lit(level).alias("lv"), x.alias("bin")))
+
+    home = place(0, os, oe)
+    for level in range(1, binning.levels):
+        home = F.when(oe.cast("double") - os.cast("double") >= float(binning.width(level - 1) * LOWEST), place(level, os, oe)).otherwise(home)
+    a = a.filter(s.isNotNull() & e.isNotNull()).withColumn("__bin", F.explode(F.concat(*[place(k, s, s) for k in range(binning.levels)])))
+    b = b.filter(os <= oe).withColumn("__bin2", F.explode(home))
+    same = (F.col("__bin.lv") == F.col("__bin2.lv")) & (F.col("__bin.bin") == F.col("__bin2.bin")) & (s >= os) & (e <= oe)
     # a reversed inner row can start beyond the outer one's end; its start must still be within
     same &= s <= oe
     for x, y in pairs:
@@ -48,9 +61,7 @@ def with_index(df: DataFrame, on=None, bounds=("start", "end"), name: str = "idx
     Places are ranks within bins of the starts plus the rows of the bins before, so one key isn't one task's."""
     b, keys = Bounds.of(bounds), [f"`{k}`" for k, _ in key_pairs(on)]
     s = F.col(f"`{b.start}`")
-    span = df.agg(F.min(s.cast("double")).alias("a"), F.max(s.cast("double")).alias("b")).first()
-    size = 1 if span.a is None else max(1, int((span.b - span.a) / BINS) + 1)
-    binned = df.withColumn("__b", floor_div(s, size, is_integral(df, s)))
+    binned = quantile_bins([(df, s)])(df, f"`{b.start}`")
     counts = binned.groupBy(*[F.col(k) for k in keys], "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__n", F.coalesce(F.sum("__n").over(before), F.lit(0)))

@@ -39,6 +39,6 @@ def test_entry(spark):
 
 def test_no_nested_loops(spark):
     """Interval joins are equi-joins on bins; nothing is paired with everything."""
-    for name in ("overlap_pairs", "overlap_range_only", "overlap_full", "count_overlaps", "sql_comma_join", "sql_with_clause", "events_self_overlap", "nearest_row"):
+    for name in ("overlap_pairs", "overlap_range_only", "overlap_full", "count_overlaps", "sql_comma_join", "sql_with_clause", "events_self_overlap", "nearest_row", "contained_in", "sql_key_on_range_where", "sql_left_join", "sql_right_join_residual", "sql_full_join", "sql_exists", "sql_anti_join", "sql_three_tables", "sql_more_comparisons"):
         plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
