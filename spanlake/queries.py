@@ -302,9 +302,9 @@ def sql_nearest_algorithm(s, d):
     return _sql(s, d, f"SELECT b.bid, b.bno, a.aid, a.st FROM spanlake_a a JOIN spanlake_b b ON {_ON}", interval_join_algorithm="CoitreesNearest")
 
 
-@query(_WITH + f"SELECT * FROM (SELECT a.contig AS contig, a.strand AS strand, count(*) AS n FROM a JOIN b ON {_ON} WHERE a.contig < 60 GROUP BY GROUPING SETS ((a.contig, a.strand), (a.strand), ())) t")
+@query(_WITH + f"SELECT * FROM (SELECT a.contig AS contig, a.strand AS strand, count(*) AS n FROM a JOIN b ON {_ON} GROUP BY GROUPING SETS ((a.contig, a.strand), (a.strand), ())) t")
 def sql_grouping_sets(s, d):
-    return _sql(s, d, f"SELECT a.contig AS contig, a.strand AS strand, count(*) AS n FROM spanlake_a a JOIN spanlake_b b ON {_ON} WHERE a.contig < 60 GROUP BY GROUPING SETS ((a.contig, a.strand), (a.strand), ())")
+    return _sql(s, d, f"SELECT a.contig AS contig, a.strand AS strand, count(*) AS n FROM spanlake_a a JOIN spanlake_b b ON {_ON} GROUP BY GROUPING SETS ((a.contig, a.strand), (a.strand), ())")
 
 
 @query(_WITH + "SELECT contig, aid, st, row_number() OVER (PARTITION BY contig ORDER BY st, aid) AS rn, CAST(sum(en - st) OVER (PARTITION BY contig ORDER BY st, aid ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM a")
@@ -332,6 +332,46 @@ def sql_top_contigs(s, d):
     return _sql(s, d, f"SELECT a.contig AS contig, count(*) AS n FROM spanlake_a a JOIN spanlake_b b ON {_ON} GROUP BY a.contig ORDER BY n DESC, contig LIMIT 10")
 
 
+@query(_WITH + f"SELECT {_PAIR} FROM a JOIN b ON {_ON}")
+def sql_key_on_range_where(s, d):
+    return _sql(s, d, f"SELECT {_PAIR} FROM spanlake_a a JOIN spanlake_b b ON a.contig = b.contig WHERE a.st <= b.en AND a.en >= b.st")
+
+
+@query(_WITH + f"SELECT {_PAIR} FROM a LEFT JOIN b ON {_ON}")
+def sql_left_join(s, d):
+    return _sql(s, d, f"SELECT {_PAIR} FROM spanlake_a a LEFT JOIN spanlake_b b ON {_ON}")
+
+
+@query(_WITH + f"SELECT {_PAIR} FROM a RIGHT JOIN b ON {_ON} AND b.bno > 1")
+def sql_right_join_residual(s, d):
+    return _sql(s, d, f"SELECT {_PAIR} FROM spanlake_a a RIGHT JOIN spanlake_b b ON {_ON} AND b.bno > 1")
+
+
+@query(_WITH + f"SELECT {_PAIR} FROM a FULL JOIN b ON {_ON}")
+def sql_full_join(s, d):
+    return _sql(s, d, f"SELECT {_PAIR} FROM spanlake_a a FULL JOIN spanlake_b b ON {_ON}")
+
+
+@query(_WITH + f"SELECT a.aid, a.st FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_ON})")
+def sql_exists(s, d):
+    return _sql(s, d, f"SELECT a.aid, a.st FROM spanlake_a a WHERE EXISTS (SELECT 1 FROM spanlake_b b WHERE {_ON})")
+
+
+@query(_WITH + f"SELECT a.aid, a.st FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_ON})")
+def sql_anti_join(s, d):
+    return _sql(s, d, f"SELECT a.aid, a.st FROM spanlake_a a LEFT ANTI JOIN spanlake_b b ON {_ON}")
+
+
+@query(_WITH + f"SELECT count(*) AS n, sum(a.st + b.en + c.st)::BIGINT AS total FROM a, b, b AS c WHERE {_ON} AND b.contig = c.contig AND b.st <= c.en AND b.en >= c.st AND b.bno < c.bno")
+def sql_three_tables(s, d):
+    return _sql(s, d, f"SELECT count(*) AS n, sum(a.st + b.en + c.st) AS total FROM spanlake_a a, spanlake_b b, spanlake_b c WHERE {_ON} AND b.contig = c.contig AND b.st <= c.en AND b.en >= c.st AND b.bno < c.bno")
+
+
+@query(_WITH + f"SELECT {_PAIR} FROM a JOIN b ON {_ON} AND a.st <= b.st")
+def sql_more_comparisons(s, d):
+    return _sql(s, d, f"SELECT {_PAIR} FROM spanlake_a a JOIN spanlake_b b ON {_ON} AND a.st <= b.st")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _all.items()}
 
