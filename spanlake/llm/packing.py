@@ -2,11 +2,13 @@
 
 Documents become pieces of at most `length` tokens; only the histogram of piece lengths (at most `length`
 numbers) reaches the driver. There the configuration linear program - how often to use each way of filling a
-sequence so that all pieces are covered - is solved by multiplicative weights: lengths that lag behind in
-coverage become dear, and an unbounded knapsack dynamic program over the capacity finds the fullest
-sequence at these prices. The fractional answer is rounded to whole copies that never exceed what is
-there; the few lengths left are packed by best fit on counts. If best fit on all counts alone needs fewer
-sequences, that plan is taken. A plan has at most some thousand patterns whatever the number of rows.
+sequence so that all pieces are covered - is solved by multiplicative weights: a length is worth its tokens times a weight
+that falls exponentially as its coverage runs ahead of the others. A bounded knapsack dynamic program (no more of a
+length than there is) prices the fillings; one table gives the best filling around each length, so a round
+moves all lengths that lag, and no filling that would carry a length far ahead. The fractional answer is rounded to whole
+copies that never exceed what is there, the fuller half of the fillings only, and the program is solved again for
+what is left, until little is. That little, and what sits in fillings that aren't full, is packed by best fit on counts.
+A plan has at most some ten thousand fillings whatever the number of rows.
 
 Executors rank the pieces of each length (dealt over buckets, so a length that a third of all pieces share
 isn't one task's) and look their sequence and offset up in the plan.
@@ -26,44 +28,91 @@ from pyspark.sql import functions as F
 from spanlake.llm import common
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> dict[int, int]:
+class Fillings:
+    """The bounded knapsack table: the best worth of every room, and what makes it."""
+
+    def __init__(self, lengths: np.ndarray, prices: np.ndarray, bounds: np.ndarray, capacity: int):
+        # a length that may be used b times is b // 2 ** k lots of 2 ** k and so on, each used or not
+        lots = []
+        for k, (n, b) in enumerate(zip(lengths.tolist(), np.minimum(bounds, capacity // np.maximum(lengths, 1)).tolist())):
+            lot = 1
+            while b > 0:
+                lots.append((k, min(lot, b)))
+                b -= lot
+                lot *= 2
+        self.item, self.uses = np.array(lots, np.int64).reshape(-1, 2).T
+        self.size = lengths[self.item] * self.uses
+        self.best = np.zeros(capacity + 1)
+        self.last = np.full((len(lots) + 1, capacity + 1), -1, np.int32)  # after each lot: the last one used for a room
+        for i, (size, worth) in enumerate(zip(self.size.tolist(), (prices[self.item] * self.uses).tolist())):
+            more = self.best[:-size] + worth
+            better = more > self.best[size:]
+            self.last[i + 1] = self.last[i]
+            np.copyto(self.last[i + 1, size:], i, where=better)
+            np.copyto(self.best[size:], more, where=better)
+
+    def fill(self, rooms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the room, item, uses) of the best fillings, in order of the rooms."""
+        room, at, row, out = rooms.copy(), np.full(len(rooms), len(self.item)), np.arange(len(rooms)), []
+        while len(row):
+            lot = self.last[at, room]
+            some = lot >= 0
+            row, room, lot = row[some], room[some], lot[some]
+            out.append((row, lot))
+            room, at = room - self.size[lot], lot
+        row, lot = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(row, kind="stable")
+        return row[order], self.item[lot[order]], self.uses[lot[order]]
+
+
+def knapsack(prices: np.ndarray, capacity: int, bounds: np.ndarray | None = None) -> dict[int, int]:
     """The multiset of lengths of the highest total price within capacity; prices[l] is -inf where l is absent."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        worth = prices[1 : c + 1] + best[c - 1 :: -1][:c]
-        k = int(worth.argmax())
-        best[c], last[c] = (worth[k], k + 1) if worth[k] > best[c - 1] else (best[c - 1], 0)
+    lengths = np.flatnonzero(prices > 0)
+    made = Fillings(lengths, prices[lengths], np.full(len(lengths), capacity) if bounds is None else bounds[lengths], capacity)
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c]:
-            out[int(last[c])] = out.get(int(last[c]), 0) + 1
-            c -= int(last[c])
-        else:
-            c -= 1
+    for k, u in zip(*(x.tolist() for x in made.fill(np.array([capacity]))[1:])):
+        out[int(lengths[k])] = out.get(int(lengths[k]), 0) + u
     return out
 
 
-def _fractional(left: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[dict[int, int], float]]:
-    """Multiplicative weights on the covering program: patterns and how often each, fractionally."""
+def fractional(left: np.ndarray, capacity: int, rounds: int, rate: float, tries: int = 6) -> tuple[dict[tuple, float], float]:
+    """Multiplicative weights on the covering program: fillings and how often each, and a lower bound of its value.
+
+    After round t every length is covered to t / rounds, but for those no filling could carry on without taking
+    another length over a round ahead; the last round covers all. The bound is the prices' worth of all pieces over that
+    of the best filling (weak duality)."""
     lengths = np.flatnonzero(left)
-    demand = left[lengths].astype(float)
-    cover = np.zeros(len(lengths))
-    place = {int(n): i for i, n in enumerate(lengths)}
-    found: dict[tuple, float] = {}
-    for _ in range(rounds):
-        prices = np.full(capacity + 1, -np.inf)
-        # a length is worth its tokens, more where coverage lags behind
-        prices[lengths] = lengths * np.exp(-rate * (cover - cover.min()))
-        pattern = knapsack(prices, capacity)
-        at = np.array([place[n] for n in pattern])
-        uses = np.array(list(pattern.values()))
-        step = float((demand[at] / uses).min())
-        cover[at] += step * uses / demand[at]
-        key = tuple(sorted(pattern.items()))
-        found[key] = found.get(key, 0.0) + step
-    scale = 1 / max(cover.max(), 1e-9)
-    return [(dict(k), x * scale) for k, x in found.items()]
+    demand, names = left[lengths].astype(float).tolist(), lengths.tolist()
+    cover, found, bound = [0.0] * len(lengths), {}, 0.0
+    for t in range(1, rounds + 1):
+        goal, times = t / rounds, tries * (3 if t == rounds else 1)
+        for one in range(times):
+            lag = [k for k in reversed(range(len(names))) if cover[k] < goal - 1e-9]  # long ones first
+            if not lag:
+                break
+            have = np.array(cover)
+            prices = lengths * np.exp(-rate * (have - have.min()))
+            made = Fillings(lengths, prices, left[lengths], capacity)
+            bound = max(bound, float((prices * left[lengths]).sum() / made.best[capacity]))
+            row, item, uses = made.fill(capacity - lengths[lag])
+            edges = np.searchsorted(row, np.arange(len(lag) + 1)).tolist()
+            item, uses = item.tolist(), uses.tolist()
+            ahead = float("inf") if t == rounds and one == times - 1 else goal + 1 / rounds
+            for j, k in enumerate(lag):
+                if cover[k] >= goal - 1e-9:
+                    continue
+                pattern = {k: 1}
+                for x, u in zip(item[edges[j] : edges[j + 1]], uses[edges[j] : edges[j + 1]]):
+                    pattern[x] = pattern.get(x, 0) + u
+                pattern[k] = min(pattern[k], int(demand[k]))
+                if j and max(map(cover.__getitem__, pattern)) > ahead:
+                    continue
+                step = min((goal - cover[k]) * demand[k] / pattern[k], *[max(ahead + 1 / rounds - cover[x], 1e-12) * demand[x] / u for x, u in pattern.items()])
+                for x, u in pattern.items():
+                    cover[x] += step * u / demand[x]
+                key = tuple(sorted((names[x], u) for x, u in pattern.items()))
+                found[key] = found.get(key, 0.0) + step
+    return found, bound
 
 
 def _take(left: np.ndarray, pattern: dict[int, int], times: float) -> tuple[dict[int, int], int]:
@@ -91,22 +140,42 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
     return out
 
 
-def plan(counts: dict[int, int], capacity: int, rounds: int = 60, passes: int = 4, rate: float = 2.0) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length to number) and copies that hold exactly counts pieces."""
+def solve(counts: dict[int, int], capacity: int, rounds: int = 8, passes: int = 8, rate: float = 10.0, rest: float = 0.004) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]], float]:
+    """Patterns (length to number) and copies of the program's rounded answer, those of best fit for what it leaves, and
+    the lower bound of sequences. Together they hold exactly counts pieces."""
     left = np.zeros(capacity + 1, np.int64)
     for n, k in counts.items():
         left[n] = k
-    plain = best_fit(left, capacity)
-    made = []
-    for _ in range(passes):
-        if not left.any():
+    size, total = np.arange(capacity + 1), int(left.sum())
+    bound, made = float(left @ size) / capacity, []
+    for one in range(passes):
+        if left.sum() <= max(rest * total, 1):
             break
-        for pattern, times in sorted(_fractional(left, capacity, rounds, rate), key=lambda p: -p[1]):
-            pattern, copies = _take(left, pattern, times)
-            if copies:
-                made.append((pattern, copies))
-    made += best_fit(left, capacity)
-    return made if sum(c for _, c in made) <= sum(c for _, c in plain) else plain
+        found, least = fractional(left, capacity, rounds, rate)
+        bound = max(bound, least) if not one else bound
+        waste = {k: capacity - sum(n * u for n, u in k) for k in found}
+        most = float(np.median(list(waste.values())))
+        for key, times in sorted(found.items(), key=lambda p: -p[1]):
+            if waste[key] <= most:
+                pattern, copies = _take(left, dict(key), times)
+                if copies:
+                    made.append((pattern, copies))
+    full = [(p, c) for p, c in made if sum(n * u for n, u in p.items()) == capacity]
+    loose = left.copy()
+    for pattern, copies in made:
+        if sum(n * u for n, u in pattern.items()) < capacity:
+            for n, u in pattern.items():
+                loose[n] += u * copies
+    again, tail = best_fit(loose, capacity), best_fit(left, capacity)
+    if sum(c for _, c in full + again) < sum(c for _, c in made + tail):
+        made, tail = full, again
+    return made, tail, bound
+
+
+def plan(counts: dict[int, int], capacity: int, rounds: int = 8, passes: int = 8, rate: float = 10.0) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length to number) and copies that hold exactly counts pieces."""
+    made, tail, _ = solve(counts, capacity, rounds, passes, rate)
+    return made + tail
 
 
 @dataclass
@@ -175,8 +244,10 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]
     # one row a length: at most `length` of them
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     lookup = spark.sparkContext.broadcast(Lookup.of(plan(histogram, length)))
+    # at most `length` times the buckets
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    ranked = keyed.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    # the join is by what the ranks are made by, so it needs no broadcast and no shuffle of its own
+    ranked = keyed.join(before.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lookup.value
