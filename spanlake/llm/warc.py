@@ -43,9 +43,13 @@ def _uri(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def _page(uri: str) -> int | None:
-    number = uri.rpartition(":")[2].rstrip(">")
-    return int(number) if number else None
+_OWN = re.compile(r"<urn:page:(-?\d*)>")
+
+
+def _page(uri: str | None) -> int | None:
+    """The page id of a record id made here; of any other there is none."""
+    own = _OWN.fullmatch(uri or "")
+    return int(own[1]) if own and own[1] else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -130,11 +134,13 @@ class _Window:
 
 
 def _is_record(window: _Window, at: int) -> bool:
-    """Whether a member that decodes to a WARC header starts at this offset."""
+    """Whether a member starts at this offset whose data begins with a whole WARC header (or HEADER bytes of one)."""
     try:
-        return _VERSIONS.match(zlib.decompressobj(31).decompress(window.need(at, 512), 16)) is not None
+        data = zlib.decompressobj(31).decompress(window.need(at, HEADER), HEADER)
     except zlib.error:
         return False
+    head, end, _ = data.partition(CRLF * 2)
+    return _VERSIONS.match(data) is not None and (len(data) == HEADER or bool(end) and b"\r\ncontent-length:" in head.lower())
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int]:
@@ -174,21 +180,53 @@ def scan_range(store: pafs.FileSystem, name: str, start: int, end: int) -> Itera
             at = after
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by their names in lower case; lines that are none are passed over."""
+    return {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
+
+
 def parse(data: bytes) -> dict:
-    """Headers, HTTP headers and payload of a record."""
+    """Headers, HTTP headers (none if the block isn't HTTP) and payload of a record; names are in lower case."""
     head, _, rest = data.partition(CRLF * 2)
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    headers = dict(line.split(": ", 1) for line in lines[1:])
-    block = rest[: int(headers["Content-Length"])]
-    http, _, payload = block.partition(CRLF * 2)
-    return {"headers": headers, "http": dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), "payload": payload}
+    headers = _fields(head.decode("utf-8", "replace").split("\r\n")[1:])
+    size = int(headers["content-length"])
+    if len(rest) < size:
+        raise ValueError("a record ends early")
+    if rest[size:].strip():
+        raise ValueError("a member holds more than a record")
+    block, http = rest[:size], {}
+    if headers.get("content-type", "").startswith("application/http"):
+        first, _, block = block.partition(CRLF * 2)
+        http = _fields(first.decode("utf-8", "replace").split("\r\n")[1:])
+    return {"headers": headers, "http": http, "payload": block}
+
+
+def _row(r: dict) -> tuple:
+    """page_id, record_id, url, record_type, payload_bytes, payload_digest, refers_to, refers_to_id, html, intact of a parsed record."""
+    h, payload, ident = r["headers"], r["payload"], r["headers"].get("warc-record-id")
+    kind, (method, _, told) = h.get("warc-type"), h.get("warc-payload-digest", "").partition(":")
+    own, revisit = ident is not None and _OWN.fullmatch(ident) is not None, kind == "revisit"
+    intact = None if revisit or method.lower() != "sha1" else digest(payload) == told
+    length = len(payload)
+    if own:
+        length = int(r["http"]["content-length"])
+        intact = intact is not False and (revisit or len(payload) == length)
+    elif not told and not revisit:
+        told = digest(payload)
+    text = None if revisit else payload.decode("utf-8", "surrogatepass" if own else "replace")
+    return _page(ident), ident, h.get("warc-target-uri"), kind, length, told or None, _page(h.get("warc-refers-to")), h.get("warc-refers-to"), text, intact
 
 
 def read_warc(spark: SparkSession, path: str, files: DataFrame, range_bytes: int = RANGE) -> DataFrame:
-    """A row per record: page_id, url, record_type, payload_bytes, payload_digest, refers_to, html (null for revisits), file, offset.
-
-    A response's length and digest are those of the payload read, which must agree with its headers; a
-    revisit's come from its headers."""
+    """A row per record of any type: page_id, record_id, url, record_type, payload_bytes, payload_digest, refers_to,
+    refers_to_id, html (null for revisits), intact, file, offset.
+
+    page_id and refers_to are numbers only where write_warc made the record; ids of other writers are in record_id and
+    refers_to_id. payload_bytes and payload_digest of what write_warc made are those its headers tell, and a payload that doesn't
+    agree with them is an error. For other writers' records intact tells whether the payload has the SHA-1 in the
+    header (null: none is told), and bytes that aren't UTF-8 are replaced in html. A file with data but no record in its
+    first range, a record that ends early, and a member of several records (such files can't be split) are errors. No files:
+    no rows."""
     spans = files.select("file", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("bytes") - 1), F.lit(range_bytes))).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,12 +236,10 @@ def read_warc(spark: SparkSession, path: str, files: DataFrame, range_bytes: int
                 rows, size = [], 0
                 for at, data in scan_range(store, f"{root}/{span['file']}", span["start"], span["start"] + range_bytes):
                     r = parse(data)
-                    h, told = r["headers"], int(r["http"]["Content-Length"])
-                    revisit, sha = h["WARC-Type"] == "revisit", h["WARC-Payload-Digest"].partition(":")[2]
-                    if not revisit and (len(r["payload"]) != told or digest(r["payload"]) != sha):
+                    row = _row(r)
+                    if row[-1] is False and _OWN.fullmatch(row[1]):
                         raise ValueError(f"{span['file']} at {at}: the payload is damaged")
-                    html = None if revisit else r["payload"].decode("utf-8", "surrogatepass")
-                    rows.append((_page(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), h["WARC-Type"], told, sha, _page(h["WARC-Refers-To"]) if revisit else None, html, span["file"], at))
+                    rows.append((*row, span["file"], at))
                     size += len(r["payload"])
                     if size > 8 << 20:
                         yield _rows(rows)
@@ -213,10 +249,10 @@ def read_warc(spark: SparkSession, path: str, files: DataFrame, range_bytes: int
 
     tasks = max(1, spans.count())
     dealt = spans.repartition(min(tasks, 4 * common.shuffle_partitions(spark)), "file", "start")
-    return dealt.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string, file string, offset long")
+    return dealt.mapInArrow(run, "page_id long, record_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_id string, html string, intact boolean, file string, offset long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "html", "file", "offset"]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64())
+    names = ["page_id", "record_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "refers_to_id", "html", "intact", "file", "offset"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)

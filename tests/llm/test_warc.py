@@ -82,3 +82,41 @@ def test_records_of_other_versions(tmp_path):
     assert list(warc.scan_range(fs.LocalFileSystem(), str(tmp_path / "e"), 0, 101)) == []
     with pytest.raises(ValueError):
         list(warc.scan_range(fs.LocalFileSystem(), str(tmp_path / "g"), 0, 101))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Standard records of several types and both versions, uuid ids, split at many places."""
+    body = b"<html>caf\xe9</html>"
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 999\r\nOdd line\r\n\r\n" + body
+
+    def rec(version, kind, ident, block, *more):
+        head = [b"WARC/" + version, b"WARC-Type: " + kind, b"WARC-Record-ID: " + ident, b"Content-Length: %d" % len(block), *more]
+        return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    u = [b"<urn:uuid:00000000-0000-4000-8000-%012d>" % k for k in range(6)]
+    members = [
+        rec(b"1.0", b"warcinfo", u[0], b"software: x\r\n", b"content-type: application/warc-fields"),
+        rec(b"1.0", b"request", u[1], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", b"Content-Type: application/http; msgtype=request", b"WARC-Target-URI: http://a/"),
+        rec(b"1.0", b"response", u[2], http, b"Content-Type: application/http; msgtype=response", b"WARC-Target-URI: http://a/", b"WARC-Payload-Digest: sha1:" + sha.encode()),
+        rec(b"1.1", b"response", u[3], http + b"!", b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha1:" + sha.encode()),
+        rec(b"1.1", b"revisit", u[4], b"HTTP/1.1 200 OK\r\n\r\n", b"Content-Type: application/http; msgtype=response", b"WARC-Refers-To: " + u[2], b"WARC-Payload-Digest: sha1:" + sha.encode()),
+        rec(b"1.1", b"metadata", u[5], b"a: b\r\n", b"Content-Type: application/warc-fields"),
+    ]
+    data = b"".join(members)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    whole = list(warc.scan_range(fs.LocalFileSystem(), str(tmp_path / "x.warc.gz"), 0, len(data)))
+    assert len(whole) == 6
+    for cut in range(len(members[0]), len(data)):
+        parts = [warc.scan_range(fs.LocalFileSystem(), str(tmp_path / "x.warc.gz"), *r) for r in ((0, cut), (cut, len(data)))]
+        assert [x for p in parts for x in p] == whole
+    files = spark.createDataFrame([("x.warc.gz", len(data))], "file string, bytes long")
+    got = warc.read_warc(spark, f"file://{tmp_path}", files, range_bytes=400).orderBy("offset").collect()
+    assert [r.record_id for r in got] == [x.decode() for x in u] and [r.page_id for r in got] == [None] * 6
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "revisit", "metadata"]
+    assert [r.intact for r in got] == [None, None, True, False, None, None]
+    assert got[2].html == "<html>caf�</html>" and got[2].payload_bytes == len(body) and got[2].payload_digest == sha
+    assert got[4].refers_to_id == u[2].decode() and got[4].refers_to is None and got[0].html == "software: x\r\n"
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(gzip.decompress(data)))
+    with pytest.raises(ValueError, match="more than a record"):
+        [warc.parse(d) for _, d in warc.scan_range(fs.LocalFileSystem(), str(tmp_path / "y.warc.gz"), 0, 10**6)]
