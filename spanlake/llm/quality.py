@@ -169,12 +169,15 @@ def fit(row: np.ndarray, slot: np.ndarray, shape: np.ndarray, bad: np.ndarray, c
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000) -> list[Model]:
-    """Models of low quality (quality = 0) and of toxic documents, from at most `sample` labelled rows."""
-    some = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col("quality").alias("__q"), F.col("toxic").alias("__t")).dropDuplicates(["__id"])
+    """Models of low quality (quality = 0) and of toxic documents, from at most `sample` labelled rows.
+
+    Where labels of an id differ the worse count: low quality, toxic. Of documents of one id that with the smallest text is
+    fitted on, so what comes to the driver is at most `sample` rows."""
+    some = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__q"), F.max("toxic").alias("__t"))
     some = some.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     common.bound_batches(docs.sparkSession)
     # at most `sample` ids: a bounded broadcast
-    rows = docs.join(F.broadcast(some), docs[id_col] == some["__id"]).select("__id", "__q", "__t", F.col(text_col).alias("__x"))
+    rows = docs.join(F.broadcast(some), docs[id_col] == some["__id"]).groupBy("__id", "__q", "__t").agg(F.min(text_col).alias("__x"))
     got = rows.mapInArrow(_lean, "q int, t int, slots binary, shape binary").collect()
     row = np.repeat(np.arange(len(got), dtype=np.int32), [len(g.slots) // 4 for g in got])
     slot = np.frombuffer(b"".join([bytes(g.slots) for g in got]), "<i4")

@@ -82,3 +82,13 @@ def test_long_texts_are_read_whole(monkeypatch):
     monkeypatch.setattr(quality, "PIECE", 50)
     got = quality.features([text, None, "a b"])
     assert sorted(zip(got[0], got[1])) == sorted(zip(want[0], want[1])) and np.allclose(got[2], want[2])
+
+
+def test_labels_that_differ_are_settled(spark, monkeypatch):
+    """The worse label of an id counts, and repeated documents of an id are fitted on once."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda row, slot, shape, bad: seen.append(bad.tolist()))
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (2, "d e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    quality.train(docs, labels)
+    assert [sorted(x) for x in seen] == [[False, True], [False, True]]
