@@ -13,6 +13,8 @@ sampled where a uniform number made from its id by hashing is below its probabil
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,14 @@ SALTS = 32
 
 
 def token_count(text: Column) -> Column:
-    """Words of a text between spaces and newlines, without splitting it: separators and one, 0 for null or empty."""
-    n = F.length(text)
-    return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0)).otherwise(n - F.length(F.translate(text, " \n", "")) + 1).cast("long")
+    """Words of a text between white space, without splitting it; 0 for null and blank texts.
+
+    Runs of white space become one space by halving them, again and again; the words are the spaces then, and one."""
+    flat = F.translate(text, "\n\t\r\f\u000b", "     ")
+    for _ in range(5):
+        flat = F.replace(flat, F.lit("  "), F.lit(" "))
+    flat = F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat))
+    return F.when(F.length(F.coalesce(flat, F.lit(""))) == 0, F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "))) + 1).cast("long")
 
 
 def topic_of(text: Column) -> Column:
@@ -53,7 +60,7 @@ def _shares(base: dict[str, float], target: dict[str, float] | float) -> dict[st
     return {k: v / total for k, v in raw.items()}
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int = 40, tolerance: float = 1e-9) -> tuple[DataFrame, dict[str, float], dict[str, float], float]:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int = 200, tolerance: float = 1e-9) -> tuple[DataFrame, dict[str, float], dict[str, float], float]:
     """Factors from cells (source, lang, topic, base): (source, factor) rows, factors by language and by topic, largest weight.
 
     Weights are relative: base times weight sums to base's total. A margin's target is a share for each category
@@ -106,6 +113,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds:
                 break
         if error < max(tolerance, 1e-7):
             break
+    else:
+        warnings.warn(f"the margins can't be met together, or not within {rounds} rounds; the largest relative error left is {error:.3g}", stacklevel=2)
     factor = F.array(*[F.lit(fl[a] * ft[b]) for a, b in grid])
     out = common.materialise(sources.select("source", source_factor().alias("factor"), F.array_max(F.transform("cells", lambda c: F.element_at(factor, c["g"] + 1))).alias("most")), "factors")
     top = out.agg(F.max(F.col("factor") * F.col("most"))).first()[0] or 0.0

@@ -96,3 +96,15 @@ def test_no_python_on_the_main_path(spark):
     for df in (mixing.weights(common.table(spark, SF, "documents")), mixing.sample(common.table(spark, SF, "documents"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_token_counts_are_words(spark):
+    some = [None, "", " ", "\n \t\r\n", "a", "a  b", " a b ", "a\n\nb\tc", "x" + " " * 5000 + "y", " ".join("ab" * 3)]
+    got = spark.createDataFrame(list(enumerate(some)), "i int, t string").select("i", mixing.token_count(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: len((t or "").split()) for i, t in enumerate(some)}
+
+
+def test_margins_that_conflict_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 1.0), ("b", "y", "p", 1.0)], "source string, lang string, topic string, base double")
+    with pytest.warns(UserWarning, match="margins"):
+        mixing.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}, "topic": 1.0}, rounds=3)
