@@ -13,9 +13,11 @@ _made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset and the master is local (tests), a temporary one."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.gettempdir()
     root = f"{set_dir.rstrip('/')}/spanlake-{spark.sparkContext.applicationId}"
     if root not in _made:
