@@ -133,8 +133,6 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2, id_col:
 
 #: Classes a document's shingles are dealt to at least this many a class, tables, and the fewest classes (a power of two).
 CLASS, TABLES, LEAST = 5, 40, 3
-#: Members of a key up to which pairs are listed in similarity groups; larger keys are compared in blocks.
-PAIRS = 12
 #: Shingles that a block of members of a large key has, about.
 BLOCK = 1 << 17
 
@@ -158,15 +156,15 @@ def class_keys(hashes: np.ndarray) -> list[int]:
                 h = (hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(32)
             part = (h & np.uint64((1 << at) - 1)).astype(np.int64)
-            used = part < min(1 << at, TABLES - first)
-            part, inside = part[used], hashes[used]
-            bits = np.unpackbits(inside.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            count = np.bincount(part, minlength=1 << at)
-            ones = np.zeros((len(count), BITS), np.int64)
-            np.add.at(ones, part, bits)
-            prints = np.packbits(ones * 2 > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
-            for t in np.flatnonzero(count):
-                out.append(xxhash.xxh64_intdigest(int(prints[t]).to_bytes(8, "little") + bytes((at, first + int(t)))) - (1 << 63))
+            used = np.flatnonzero(part < min(1 << at, TABLES - first))
+            if len(used):
+                used = used[np.argsort(part[used], kind="stable")]
+                part = part[used]
+                begins = np.flatnonzero(np.diff(part, prepend=-1))
+                bits = np.unpackbits(hashes[used].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+                prints = np.packbits(ones * 2 > np.diff(begins, append=len(part))[:, None], axis=1, bitorder="little")
+                out += [xxhash.xxh64_intdigest(x.tobytes() + bytes((at, first + t))) - (1 << 63) for x, t in zip(prints, part[begins].tolist())]
             salt += 1
     return out
 
@@ -190,15 +188,6 @@ def jaccard(a: str, b: str, size: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the members (k, s) of small keys, and the members of large ones."""
-    sizes = members.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    met = common.materialise(members.join(sizes, "k"), "met")
-    few = met.filter(F.col("n") <= PAIRS).groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b < a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return few.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), met.filter(F.col("n") > PAIRS).select("k", "s")
-
-
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, th, first_d, first_th) of every row: its id, the hash of its text, and the row of its group that comes first.
 
@@ -206,8 +195,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     of `similarity` or more. Equal sets (texts without words, too) are one. Candidates come from the covering tables
     of the whole fingerprints, which miss no pair within radius bits, and, as lower similarities differ in more bits
     than masks can cover, from SimHash fingerprints of classes of the shingles (see class_keys). Every pair that has
-    a key in common is compared, or is in one group already: small keys list their pairs, large ones are dealt to
-    blocks, and blocks are compared with each other where their members aren't one group yet. Null ids come last."""
+    a key in common is compared, or is in one group already: a key's members are compared with its first; keys whose
+    members aren't one group by all such links are dealt to blocks, and a block's members outside its largest group are
+    compared with all of it, then with the other blocks. Rows grow with the members, whatever a key's size. Null ids
+    come last."""
     spark = docs.sparkSession
     common.bound_batches(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
@@ -222,24 +213,36 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     of_u, of_v = prints.select(F.col("fp").alias("u"), F.col("hub").alias("x")), prints.select(F.col("fp").alias("v"), F.col("hub").alias("y"))
     whole = near.join(of_u, "u").join(of_v, "v").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
-    # classes
-    pairs, large = _candidates(nodes.select("s", F.explode("keys").alias("k")))
-    large = common.materialise(large.distinct(), "large")
-    asked = nodes.join(large.select("s").distinct(), "s", "left_semi").select("s", "d", "th")
+    # classes: all members of a key with the first of them, in proportion to the members
+    keyed = common.materialise(nodes.select("s", F.explode("keys").alias("k")).distinct(), "keyed")
+    firsts = keyed.groupBy("k").agg(F.min("s").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    met = common.materialise(keyed.join(firsts.select("k", "hub"), "k"), "met")
+    stars = met.filter("s != hub").select(F.col("s").alias("a"), F.col("hub").alias("b"))
+    found = _verified(same.union(whole).union(stars).distinct(), nodes, texts, size, similarity)
+
+    # keys that these links leave in several groups, in blocks
+    named = common.materialise(met.join(_roots(found).withColumnRenamed("node", "s"), "s", "left").select("k", "s", F.coalesce("root", "s").alias("root")), "named")
+    several = named.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("k")
+    several = common.materialise(named.join(several, "k", "left_semi"), "several")
+    asked = nodes.join(several.select("s").distinct(), "s", "left_semi").select("s", "d", "th")
     sets = common.materialise(texts.join(asked, ["d", "th"]).dropDuplicates(["s"]).select("s", "t").mapInArrow(lambda it: _hashes(it, size), "s long, n long, h array<long>"), "hashes")
-    sizes = large.join(sets.select("s", "n"), "s").groupBy("k").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = common.materialise(large.join(sizes, "k").withColumn("i", _block("blocks")), "dealt")
-    inside = _joined(dealt.select("s", F.col("s").alias("root"), F.struct("k", F.col("i"), F.col("i").alias("j")).alias("place")), sets, similarity)
-    found = _verified(pairs.union(same).union(whole).union(inside).distinct(), nodes, texts, size, similarity)
+    sizes = several.join(sets.select("s", "n"), "s").groupBy("k").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = common.materialise(several.join(sizes, "k").withColumn("i", _block("blocks")), "dealt")
+    inside = _joined(dealt.select("s", "root", F.xxhash64("k", "i", "i").alias("place")), sets, similarity)
+    found = found.union(_verified(inside.distinct(), nodes, texts, size, similarity))
     if not dealt.filter("blocks > 1").isEmpty():
         found = found.union(_verified(_across(dealt.filter("blocks > 1"), sets, found, similarity).distinct(), nodes, texts, size, similarity))
-    roots = components(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    roots = _roots(found)
     labelled = nodes.select("s", "d", "th").join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "d", "th", F.coalesce("root", "s").alias("root"))
     least = labelled.groupBy("root").agg(F.min(F.struct("d", "th")).alias("f"))
     named = labelled.join(least, "root").select("s", F.col("f.d").alias("first_d"), F.col("f.th").alias("first_th"))
     return rows.select("d", "th", "s").join(named, "s").select("d", "th", "first_d", "first_th")
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+
+
 def _block(blocks: str) -> Column:
     return F.pmod(F.xxhash64("s"), F.col(blocks)).cast("int")
 
@@ -276,21 +279,40 @@ def spanning(hashes: np.ndarray, lengths: np.ndarray, label: np.ndarray, similar
 
 
 def _joined(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join the members (s, root) of each place to the components of all similar pairs in it."""
+    """Links (a, b) that join the members (s, root) of each place to the components of all similar pairs in it.
 
-    def run(rows: pa.Table) -> pa.Table:
-        s, h = rows.column("s").to_numpy(), rows.column("h").combine_chunks()
-        found = spanning(h.flatten().to_numpy(), rows.column("n").to_numpy(), rows.column("root").to_numpy(), similarity)
-        a, b = np.array([s[x] for x, _ in found], np.int64), np.array([s[y] for _, y in found], np.int64)
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+    Places are hashes of what they stand for; two of one hash are compared as one, which finds no false link."""
 
-    return members.join(sets, "s").select("place", "s", "root", "n", "h").groupBy("place").applyInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None  # rows of the place that goes on
+
+        def end() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            s, h = rows.column("s").to_numpy(), rows.column("h").combine_chunks()
+            found = spanning(h.flatten().to_numpy(), rows.column("n").to_numpy(), rows.column("root").to_numpy(), similarity)
+            a, b = np.array([s[x] for x, _ in found], np.int64), np.array([s[y] for _, y in found], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            edges = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for x, y in zip(edges, edges[1:]):
+                if x < y:
+                    if held and place[x] != at:
+                        yield end()
+                        held = []
+                    held.append(batch.slice(x, y - x))
+                    at = place[x]
+        if held:
+            yield end()
+
+    rows = members.join(sets, "s").select("place", "s", "root", "n", "h")
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
 
 
 def _across(dealt: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Links between members (k, s, blocks, i) in different blocks of a key: those outside its largest group with all."""
-    roots = components(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    named = common.materialise(dealt.join(roots.withColumnRenamed("node", "s"), "s", "left").select("k", "s", "blocks", "i", F.coalesce("root", "s").alias("root")), "named")
+    named = common.materialise(dealt.drop("root").join(_roots(found).withColumnRenamed("node", "s"), "s", "left").select("k", "s", "blocks", "i", F.coalesce("root", "s").alias("root")), "named")
     held = named.groupBy("k", "root").agg(F.count("*").alias("n"))
     main = held.groupBy("k").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
     main = main.select("k", F.col("m.root").alias("main"), (F.col("all") - F.col("m.n")).alias("out"), "all").filter("out > 0")
@@ -298,7 +320,7 @@ def _across(dealt: DataFrame, sets: DataFrame, found: DataFrame, similarity: flo
     some = named.join(main, "k").withColumn("outs", F.greatest(F.lit(1), F.ceil(F.col("blocks") * F.col("out") / F.col("all")).cast("int")))
     outside = some.filter("root != main").withColumn("o", _block("outs")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     every = some.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).withColumn("j", F.col("i"))
-    cols = ["s", "root", F.struct("k", F.col("o").alias("i"), "j").alias("place")]
+    cols = ["s", "root", F.xxhash64("k", "o", "j").alias("place")]
     return _joined(outside.select(*cols).union(every.select(*cols)).distinct(), sets, similarity)
 
 
@@ -320,9 +342,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, s
 
 
 def near_dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of similar_groups(), the first by id, columns unchanged; of repeated equal rows one stays."""
+    """One row of each group of similar_groups(), the first by id, columns unchanged.
+
+    Rows without words (null and blank texts) are one group. Null ids come last, equal ids in the order of a hash of
+    the text. Of rows of equal id and text that whose columns are smallest in order stays (any, if a column can't be
+    ordered). An empty table gives no rows."""
     groups = similar_groups(docs, size, similarity, radius, id_col, text_col)
     stay = groups.filter("d = first_d and th = first_th").select(F.col("d").alias("__d"), F.col("th").alias("__th")).distinct()
     key, th = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     marked = docs.withColumns({"__d": key, "__th": th}).join(stay, ["__d", "__th"], "left_semi")
-    return marked.dropDuplicates(["__d", "__th"]).select(*docs.columns)
+    if any(x in f.dataType.simpleString() for f in docs.schema for x in ("map<", "variant", "interval")):
+        return marked.dropDuplicates(["__d", "__th"]).select(*docs.columns)
+    return marked.groupBy("__d", "__th").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__r")).select("__r.*")

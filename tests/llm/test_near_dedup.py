@@ -92,3 +92,52 @@ def test_odd_rows(spark, odd):
 
 def test_no_rows(spark, none):
     assert simhash.near_dedup(none).count() == 0
+
+
+def test_groups_beside_a_hub(spark):
+    """Thousands of near copies of one text, and among them groups that are like each other but not like the first."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(160)]
+
+    def changed(words, places, tag):
+        out = list(words)
+        for k in places:
+            out[k] = f"{tag}_{k}"
+        return out
+
+    texts = [base] + [changed(base, rng.sample(range(160), rng.choice([1, 2, 3, 4])), f"x{i}") for i in range(2500)]
+    for g in range(40):  # each far from the base, its members near each other
+        far = changed(base, rng.sample(range(160), 7), f"g{g}")
+        texts += [changed(far, rng.sample(range(160), rng.choice([1, 2])), f"g{g}m{m}") for m in range(6)]
+    docs = list(enumerate(" ".join(t) for t in texts))
+    # all pairs at once: how many shingles each pair shares
+    sets = [sorted({hash(x) for x in simhash.shingles(t, 5)}) for _, t in docs]
+    every = {h: k for k, h in enumerate(sorted({h for s in sets for h in s}))}
+    count: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        for h in s:
+            count.setdefault(every[h], []).append(i)
+    shared = np.zeros((len(docs), len(docs)), np.int16)
+    for held in count.values():
+        if len(held) > 1:
+            shared[np.ix_(held, held)] += 1
+    n = np.array([len(s) for s in sets])
+    like = np.triu(shared / (n[:, None] + n[None, :] - shared) >= 0.8, 1)
+    a, b = np.nonzero(like)
+    root = np.arange(len(docs))
+    while True:  # smallest reachable
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        if (new == root).all():
+            break
+        root = new
+    got = {r.d: r.first_d for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    found = np.array([got[i] for i in range(len(docs))])
+    assert (root[found] == root).all()  # none joined that all pairs don't join
+    assert (found[a] == found[b]).mean() >= 0.97
+
+
+def test_repeated_ids_are_settled_by_the_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "z"), (1, "a b", "y"), (1, "a b", None)], "doc_id long, text string, source string").repartition(3)
+    assert rows(simhash.near_dedup(docs), "doc_id", "source") == [(1, None)]
