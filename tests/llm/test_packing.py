@@ -79,3 +79,33 @@ def test_knapsack_against_all_fillings(capacity):
     got = packing.knapsack(prices, capacity)
     assert sum(n * u for n, u in got.items()) <= capacity
     assert abs(sum(prices[n] * u for n, u in got.items()) - best(capacity)) < 1e-9
+
+
+@pytest.mark.parametrize("pieces", [300, 6000])
+def test_the_program_places_most_pieces(pieces):
+    """The result is the rounded program's, not that of best fit, and about as short."""
+    rng = np.random.default_rng(pieces)
+    lengths, n = np.unique(np.minimum(rng.lognormal(6, 1, pieces).astype(int) + 1, 2048), return_counts=True)
+    counts = dict(zip(lengths.tolist(), n.tolist()))
+    made, tail, bound = packing.solve(counts, 2048)
+    left = np.zeros(2049, np.int64)
+    left[lengths] = n
+    plain = sum(c for _, c in packing.best_fit(left, 2048))
+    placed = sum(c * sum(p.values()) for p, c in made)
+    used = sum(c for _, c in made + tail)
+    assert placed > 0.5 * pieces and bound <= used <= plain * 1.005 + 1
+    assert placed + sum(c * sum(p.values()) for p, c in tail) == pieces
+
+
+def test_bounded_knapsack_against_all_fillings():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        bounds = np.concatenate([[0], rng.integers(0, 4, 9)])
+        prices = np.where(bounds > 0, rng.random(10), -np.inf)
+
+        def best(n, c):
+            return 0.0 if n == 0 else max(best(n - 1, c - n * u) + (u * prices[n] if u else 0) for u in range(min(bounds[n], c // n) + 1))
+
+        got = packing.knapsack(prices, 12, bounds)
+        assert all(u <= bounds[n] for n, u in got.items()) and sum(n * u for n, u in got.items()) <= 12
+        assert abs(sum(prices[n] * u for n, u in got.items()) - best(9, 12)) < 1e-9
