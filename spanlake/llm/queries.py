@@ -86,5 +86,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: Lines: the earliest place of each distinct one; deletion neighbourhoods in full, met on whole variants' 128-bit hashes.
+_LINES = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+firsts AS (SELECT line, min((doc_id, no)) AS place FROM l WHERE trim(line, ' ') <> '' GROUP BY line),
+v AS (SELECT place, p, md5_number(line[1:p - 1] || line[p + 1:length(line)]) AS h, length(line) - 1 AS n
+      FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS p FROM firsts WHERE length(line) >= 12)),
+own AS (SELECT place, md5_number(line) AS h, length(line) AS n FROM firsts WHERE length(line) >= 12),
+gone AS (
+  SELECT v.place FROM v JOIN (SELECT h, n, p, min(place) AS f FROM v GROUP BY h, n, p) AS m USING (h, n, p) WHERE f < v.place
+  UNION SELECT v.place FROM v JOIN own USING (h, n) WHERE own.place < v.place
+  UNION SELECT own.place FROM v JOIN own USING (h, n) WHERE v.place < own.place),
+kept AS (SELECT place FROM firsts EXCEPT SELECT place FROM gone),
+texts AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) AS text
+          FROM l LEFT JOIN kept ON kept.place = (l.doc_id, l.no) WHERE trim(l.line, ' ') = '' OR kept.place IS NOT NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, d.lang, d.source,
+       CASE WHEN d.text IS NOT NULL THEN length(coalesce(t.text, '')) END AS n_chars
+FROM documents AS d LEFT JOIN texts AS t USING (doc_id)"""
+
+#: Every window of 13 words, as text; words of windows that a smaller id has go.
+_SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+least AS (SELECT g, min(doc_id) AS f FROM windows GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS k FROM windows JOIN least USING (g) WHERE f < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+#: SHA-1 in base 32: eight groups of five hexadecimal digits, each four letters.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT t, min(page_id) AS first FROM p GROUP BY t),
+n AS (SELECT page_id, g, CAST('0x' || substr(h, 5 * g + 1, 5) AS BIGINT) AS v FROM p, range(8) AS r(g)),
+b AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1), '' ORDER BY g, s DESC) AS digest
+      FROM n, (VALUES (15), (10), (5), (0)) AS shifts(s) GROUP BY page_id)
+SELECT p.page_id, CAST(strlen(p.t) AS BIGINT) AS payload_bytes, b.digest AS payload_digest,
+       CASE WHEN f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p JOIN f USING (t) JOIN b USING (page_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": _LINES, "op6_substring_dedup": _SUBSTRINGS, "op9_warc_round_trip": _WARC}
