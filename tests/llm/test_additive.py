@@ -48,6 +48,21 @@ def test_recall_beyond_one_strip(spark, metric):
     assert recall(taken(additive.search(df, F.col("vec_id") % 20 == 0, 20, metric, s)), brute(rows, lambda i: i % 20 == 0, 20, metric)) >= 0.9
 
 
+def test_recall_at_the_production_ratio(spark):
+    """400 of the 8,192 rows of a strip are reranked; more strips only add candidates."""
+    rng = np.random.default_rng(4)
+    n = additive.Settings().strip
+    v = rng.normal(size=(n, 32)) * rng.uniform(0.5, 2, size=(n, 1))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = taken(additive.search(df, F.col("vec_id") % 200 == 0))
+    want = {}
+    for i in range(0, n, 200):
+        score = v @ v[i]
+        score[i] = -np.inf
+        want[i] = [(int(j), score[j]) for j in np.argsort(-score)[:20]]
+    assert recall(got, want) >= 0.9
+
+
 def test_odd_rows_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(100, 180)] + [(0, [1.0, 0.0, 0.0]), (20, [0.0, 0.5, 0.5]), (20, [0.0, 0.5, 0.5]), (7, [1.0, 2.0, 3.0])]

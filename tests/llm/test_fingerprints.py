@@ -2,21 +2,48 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 from conftest_llm import SF
 
 from spanlake.llm import common, fingerprints, queries
-from spanlake.llm.fingerprints import Chunker, edited, likeness
+from spanlake.llm.fingerprints import Chunker, likeness
+
+GEAR = [xxhash.xxh64_intdigest(bytes([b]), 1) % 2**32 for b in range(256)]
+
+
+def plain_chunks(data):
+    """Byte after byte, as the rule says: at least 16 bytes, at most 256; 6 zero bits to 48 bytes, 4 beyond."""
+    chunks, begin, h = [], 0, 0
+    for k, byte in enumerate(data):
+        h = (2 * h + GEAR[byte]) % 2**32  # goes on over boundaries
+        size = k + 1 - begin
+        zeros = 32 - h.bit_length()
+        if size == 256 or size >= 16 and zeros >= (6 if size <= 48 else 4) and k + 1 < len(data):
+            chunks.append(data[begin : k + 1])
+            begin = k + 1
+    return chunks + [data[begin:]] if begin < len(data) else chunks
+
+
+def plain_set(text):
+    return {(xxhash.xxh64_hexdigest(c)[:12], len(c)) for c in plain_chunks(text.encode())}
+
+
+def plain_likeness(x, y):
+    least = min(sum(n for _, n in x), sum(n for _, n in y))
+    return sum(n for _, n in x & y) / least if least else float(x == y)
 
 
 def brute(docs):
-    c = Chunker()
     docs = sorted(((i, t or "") for i, t in docs), key=lambda d: (d[0] is None, -(d[0] or 0), d[1]))
+    shown = lambda x: "".join(sorted(f"{d}{n:03x}" for d, n in x))
+    sets = [plain_set(t) for _, t in docs]
     out = []
     for k, (i, t) in enumerate(docs):
-        nxt = docs[(k + 1) % len(docs)][1]
-        e = edited(t, nxt)
-        a, b = c.fingerprint(t.encode()), c.fingerprint(e.encode())
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, likeness(a, b), likeness(a, c.fingerprint(nxt.encode()))))
+        following = (k + 1) % len(docs)
+        half = len(t) // 2
+        e = t[: len(t) - half] + docs[following][1][:half]
+        changed = plain_set(e)
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), shown(sets[k]), shown(changed), plain_likeness(sets[k], changed), plain_likeness(sets[k], sets[following])))
     return sorted(map(str, out))
 
 
