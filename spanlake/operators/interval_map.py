@@ -77,6 +77,16 @@ class IntervalMap:
     def search_point(self, point: int) -> list:
         return self.search_values(point, point)
 
+    def idxs_iter(self, start: int, end: int) -> Iterator[int]:
+        for r in self.indexed().filter((F.col("start") <= end) & (F.col("end") >= start)).orderBy("idx").toLocalIterator():
+            yield r.idx
+
+    def keys_iter(self, start: int, end: int) -> Iterator[tuple]:
+        return (r[:2] for r in self.search_iter(start, end))
+
+    def values_iter(self, start: int, end: int) -> Iterator:
+        return (r[2] for r in self.search_iter(start, end))
+
     def coverage(self, start: int, end: int) -> tuple[int, int]:
         """Number of overlaps and the sum of min(ends) - max(starts)."""
         r = self._met(start, end).agg(F.count("*").alias("n"), F.sum(F.least("end", F.lit(end)) - F.greatest("start", F.lit(start))).alias("s")).first()
@@ -94,3 +104,12 @@ class IntervalMap:
     def search_batch(self, queries: DataFrame, what: str = "values") -> DataFrame:
         """what: values, idxs, keys or items."""
         return search_arrays(queries, self.df, value="value", what=what)
+
+    # names of older interfaces
+    findOverlaps = search_values
+    anyOverlaps = has_overlaps
+    countOverlaps = count
+    findIndexes = search_idxs
+    findKeys = search_keys
+    findItems = search_items
+    findStabbed = search_point

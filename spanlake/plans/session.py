@@ -22,6 +22,13 @@ _VALUES = re.compile(r"^\s*create\s+table\s+(\w+)\s*(?:\((.*?)\))?\s*(?:as\s+(va
 _EXPLAIN = re.compile(r"^\s*explain\s+(?:verbose\s+|analyze\s+)?((?:select|with)\s.*)$", re.I | re.S)
 _TYPES = {"varchar": "string", "text": "string", "utf8": "string", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "integer": "int"}
 
+#: Functions of SQL that every session has; Catalyst puts their expressions in the place of calls.
+FUNCTIONS = {
+    "overlap_length(ls BIGINT, le BIGINT, rs BIGINT, re BIGINT)": "greatest(least(le, re) - greatest(ls, rs) + 1, 0)",
+    "interval_distance(ls BIGINT, le BIGINT, rs BIGINT, re BIGINT)": "greatest(rs - le, ls - re, 0)",
+    "contains_point(s BIGINT, e BIGINT, point BIGINT)": "point >= s AND point <= e",
+}
+
 
 def statements(text: str) -> Iterator[str]:
     """Statements of a script: parts between semicolons outside quotes, without comments."""
@@ -72,6 +79,15 @@ class IntervalSession:
                 spark.conf.set(PREFIX + k, v)
         for k, v in (settings or {}).items():
             self.set(k, v)
+        for head, body in FUNCTIONS.items():
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+
+    def register(self, name: str, function) -> None:
+        """A function of one's own for SQL: a Pandas UDF (by rows or aggregating), a Python UDF or a UDTF.
+
+        SQL functions are made by CREATE TEMPORARY FUNCTION, and need no Python."""
+        table = type(function).__name__ == "UserDefinedTableFunction"
+        (self.spark.udtf if table else self.spark.udf).register(name, function)
 
     def get(self, key: str) -> str:
         return self.spark.conf.get(PREFIX + key.removeprefix(PREFIX))

@@ -223,6 +223,17 @@ def search_values_array(s, d):
     return got.select("aid", F.array_join(F.col("found").cast("array<string>"), ",").alias("found"))
 
 
+@query(_WITH + _IDX + f"SELECT a.aid, coalesce(string_agg(b.st || '-' || b.en || ':' || b.bid, ',' ORDER BY b.idx), '') AS found FROM a LEFT JOIN i b ON {_ON} GROUP BY a.aid")
+def search_items_array(s, d):
+    got = search.search_arrays(iva(s, d), ivb(s, d), ["contig"], ST, ST, value="bid", what="items")
+    return got.select("aid", F.array_join(F.transform("found", lambda x: F.concat(x["start"], F.lit("-"), x["end"], F.lit(":"), x["value"])), ",").alias("found"))
+
+
+@query(_WITH + "SELECT st AS start, en AS \"end\", aid AS value, row_number() OVER (ORDER BY st, en DESC, aid) - 1 AS idx FROM a")
+def interval_map_indexed(s, d):
+    return IntervalMap(iva(s, d), "st", "en", "aid").indexed()
+
+
 @query(_WITH + _IDX + "SELECT bid, bno, contig, strand, st, en, idx FROM i")
 def sorted_index(s, d):
     return search.with_index(ivb(s, d), ["contig"], ST)
@@ -372,6 +383,11 @@ def sql_more_comparisons(s, d):
     return _sql(s, d, f"SELECT {_PAIR} FROM spanlake_a a JOIN spanlake_b b ON {_ON} AND a.st <= b.st")
 
 
+@query(_WITH + f"SELECT a.contig AS contig, sum(least(a.en, b.en) - greatest(a.st, b.st) + 1)::BIGINT AS shared, max(greatest(b.st - a.st, a.st - b.st))::BIGINT AS apart FROM a JOIN b ON {_ON} GROUP BY a.contig")
+def sql_functions(s, d):
+    return _sql(s, d, f"SELECT a.contig AS contig, sum(overlap_length(a.st, a.en, b.st, b.en)) AS shared, max(interval_distance(a.st, a.st, b.st, b.st)) AS apart FROM spanlake_a a JOIN spanlake_b b ON {_ON} GROUP BY a.contig")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _all.items()}
 

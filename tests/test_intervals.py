@@ -174,6 +174,7 @@ def test_interval_map(spark, some, asked, n):
     assert [m.at(i) for i in m.search_idxs(*asked)] == hits and list(m.search_iter(*asked)) == hits
     q = spark.createDataFrame([asked], "start long, end long")
     assert m.count_batch(q).first()["count"] == n and m.search_batch(q).first().found == [h[2] for h in hits]
+    assert list(m.idxs_iter(*asked)) == m.search_idxs(*asked) and list(m.keys_iter(*asked)) == m.findKeys(*asked) and list(m.values_iter(*asked)) == m.findOverlaps(*asked)
     assert m.add(*asked, 99).size() == len(some) + 1 and m.clear().size() == 0
 
 
@@ -264,3 +265,54 @@ def test_counting_algorithm_is_refused(spark):
             session.sql("SELECT 1 AS x")
     finally:
         spark.conf.set("spanlake.interval_join_algorithm", before)
+
+
+def test_prompt(spark, monkeypatch, capsys):
+    lines = iter(["", "SELECT", "40 + 2 AS x;", "SELECT nothing_like_it;", "SELECT 7 AS y; SELECT 8 AS z;", "quit"])
+    monkeypatch.setattr("builtins.input", lambda _: next(lines))
+    monkeypatch.setattr(sys.stdin, "isatty", lambda: True, raising=False)
+    assert cli.main([]) == 0
+    out = capsys.readouterr().out
+    assert all(f"|{x} " in out for x in (42, 7, 8)) and "nothing_like_it" in out
+
+
+def test_functions_in_sql(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf, udtf
+
+    @pandas_udf("long")
+    def twice(x: pd.Series) -> pd.Series:
+        return x * 2
+
+    @udtf(returnType="p: long")
+    class Positions:
+        def eval(self, s: int, e: int):
+            for p in range(s, e + 1):
+                yield (p,)
+
+    s = IntervalSession(spark)
+    s.register("twice", twice)
+    s.register("positions", Positions)
+    s.sql("CREATE OR REPLACE TEMPORARY FUNCTION thrice(x BIGINT) RETURNS BIGINT RETURN 3 * x")
+    s.sql("CREATE OR REPLACE TEMPORARY FUNCTION pieces(n BIGINT) RETURNS TABLE (k BIGINT) RETURN SELECT explode(sequence(1L, n))")
+    got = s.sql("SELECT twice(4), thrice(4), overlap_length(1, 5, 4, 9), interval_distance(1, 2, 6, 7), contains_point(1, 5, 6)").first()
+    assert tuple(got) == (8, 12, 2, 4, False)
+    assert [r.p for r in s.sql("SELECT p FROM positions(3, 5) ORDER BY p").collect()] == [3, 4, 5]
+    assert s.sql("SELECT sum(k) AS n FROM pieces(4)").first().n == 10
+
+
+def test_windowed_stream(spark, tmp_path):
+    from spanlake.streaming.overlap import windowed_overlaps
+
+    rows = [(f"2024-01-01 00:{m:02d}:00", "c", m * 10, m * 10 + 15) for m in range(0, 60, 7)]
+    a = spark.createDataFrame(rows, "t string, contig string, start long, end long").selectExpr("cast(t as timestamp) as ts", "contig", "start", "end")
+    b = spark.createDataFrame([("c", s, s + 40) for s in range(0, 600, 50)], "contig string, start long, end long")
+    a.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(a.schema).parquet(str(tmp_path / "in"))
+    options = dict(on=["contig"], window="20 minutes", late="5 minutes", by=["l_contig"], size=100)
+    q = windowed_overlaps(stream, b, **options).writeStream.format("memory").queryName("windowed_pairs").option("checkpointLocation", str(tmp_path / "c")).outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    want = sorted(map(tuple, windowed_overlaps(a, b, **options).collect()))
+    assert sorted(map(tuple, spark.table("windowed_pairs").collect())) == want and len(want) == 3
+    assert sum(r[-1] for r in want) == sum(s <= y + 40 and e >= y for _, _, s, e in rows for y in range(0, 600, 50))
