@@ -6,7 +6,7 @@ sequence so that all pieces are covered - is solved by multiplicative weights: a
 that falls exponentially as its coverage runs ahead of the others. A bounded knapsack dynamic program (no more of a
 length than there is) prices the fillings; one table gives the best filling around each length, so a round
 moves all lengths that lag, and no filling that would carry a length far ahead. The fractional answer is rounded to whole
-copies that never exceed what is there, the fuller half of the fillings only, and the program is solved again for
+copies that never exceed what is there, the fuller fillings only, and the program is solved again for
 what is left, until little is. That little, and what sits in fillings that aren't full, is packed by best fit on counts.
 A plan has at most some ten thousand fillings whatever the number of rows.
 
@@ -115,10 +115,10 @@ def fractional(left: np.ndarray, capacity: int, rounds: int, rate: float, tries:
     return found, bound
 
 
-def _take(left: np.ndarray, pattern: dict[int, int], times: float) -> tuple[dict[int, int], int]:
+def _take(left: np.ndarray, pattern: dict[int, int], times: float, down: bool = False) -> tuple[dict[int, int], int]:
     copies = min(int(left[n]) // u for n, u in pattern.items())
     if times < copies:
-        copies = max(1, round(times))
+        copies = int(times) if down else max(1, round(times))
     for n, u in pattern.items():
         left[n] -= u * copies
     return pattern, copies
@@ -140,26 +140,32 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
     return out
 
 
-def solve(counts: dict[int, int], capacity: int, rounds: int = 8, passes: int = 8, rate: float = 10.0, rest: float = 0.004) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]], float]:
+def solve(counts: dict[int, int], capacity: int, rounds: int = 8, passes: int = 16, rate: float = 10.0, rest: float = 0.0005) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]], float]:
     """Patterns (length to number) and copies of the program's rounded answer, those of best fit for what it leaves, and
-    the lower bound of sequences. Together they hold exactly counts pieces."""
+    the lower bound of sequences. Together they hold exactly counts pieces.
+
+    First only full fillings are taken, if they are a good part of the answer, and copies are rounded down, so that what is
+    left stays like the whole; once a pass places little of what is left, the fuller half, rounded."""
     left = np.zeros(capacity + 1, np.int64)
     for n, k in counts.items():
         left[n] = k
     size, total = np.arange(capacity + 1), int(left.sum())
-    bound, made = float(left @ size) / capacity, []
+    bound, made, careful = float(left @ size) / capacity, [], True
     for one in range(passes):
-        if left.sum() <= max(rest * total, 1):
+        before = int(left.sum())
+        if before <= max(rest * total, 1):
             break
         found, least = fractional(left, capacity, rounds, rate)
         bound = max(bound, least) if not one else bound
         waste = {k: capacity - sum(n * u for n, u in k) for k in found}
-        most = float(np.median(list(waste.values())))
+        full = sum(t for k, t in found.items() if not waste[k])
+        most = 0.0 if careful and full > 0.3 * sum(found.values()) else float(np.median(list(waste.values())))
         for key, times in sorted(found.items(), key=lambda p: -p[1]):
             if waste[key] <= most:
-                pattern, copies = _take(left, dict(key), times)
+                pattern, copies = _take(left, dict(key), times, careful)
                 if copies:
                     made.append((pattern, copies))
+        careful = careful and int(left.sum()) < 0.7 * before
     full = [(p, c) for p, c in made if sum(n * u for n, u in p.items()) == capacity]
     loose = left.copy()
     for pattern, copies in made:
@@ -172,7 +178,7 @@ def solve(counts: dict[int, int], capacity: int, rounds: int = 8, passes: int =
     return made, tail, bound
 
 
-def plan(counts: dict[int, int], capacity: int, rounds: int = 8, passes: int = 8, rate: float = 10.0) -> list[tuple[dict[int, int], int]]:
+def plan(counts: dict[int, int], capacity: int, rounds: int = 8, passes: int = 16, rate: float = 10.0) -> list[tuple[dict[int, int], int]]:
     """Patterns (length to number) and copies that hold exactly counts pieces."""
     made, tail, _ = solve(counts, capacity, rounds, passes, rate)
     return made + tail
