@@ -10,6 +10,9 @@ earliest of each is enough whatever the group's size.
 Equal lines are made one first. Of the distinct lines only those emit variants that share a half with
 another line of a length that differs by one at most: one edit leaves one half of the shorter line's length
 untouched, so no match is lost, and the variants that have to be shuffled follow the lines that are alike.
+
+Each step is written, its shuffle files go as it ends and its table when no later step reads it, so the disk
+holds the largest step and not their sum. What is returned reads the documents and the masks of kept lines only.
 """
 
 from __future__ import annotations
@@ -109,14 +112,22 @@ def line_witnesses(docs: DataFrame, min_chars: int = 12, id_col: str = "doc_id",
 
     Lines of fewer than min_chars characters are like equal lines only. An earlier line counts whether it is
     kept itself or not."""
-    lines = common.materialise(distinct_lines(docs, id_col, text_col), "lines")
+    with common.freed_shuffles(docs.sparkSession):
+        return _witnesses(docs, min_chars, id_col, text_col)[0]
+
+
+def _witnesses(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """line_witnesses, and the folders it reads."""
+    spark = docs.sparkSession
+    path = {k: common.new_path(spark, k) for k in ("lines", "alike", "live", "gone")}
+    lines = common.materialise(distinct_lines(docs, id_col, text_col), "lines", path["lines"])
     long = lines.filter(F.length("line") >= min_chars)
     halves = long.select(*PLACE, F.explode(_halves()).alias("half"))
     # lines that share a half with another: by counts, then the places of these lines
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     alike = halves.join(shared, "half", "left_semi").select(*PLACE).distinct()
-    some = common.materialise(long.join(alike, PLACE, "left_semi"), "alike")
-    common.bound_batches(docs.sparkSession)
+    some = common.materialise(long.join(alike, PLACE, "left_semi"), "alike", path["alike"])
+    common.bound_batches(spark)
     keys = some.mapInArrow(_emit, "key long, place int, doc long, th long, no int")
     here = F.struct(*PLACE)
     # the earliest of each variant at each place, combined before the shuffle; then per variant
@@ -126,13 +137,15 @@ def line_witnesses(docs: DataFrame, min_chars: int = 12, id_col: str = "doc_id",
     met = met.withColumn("own", F.min(own).over(by_key)).withColumn("cut", F.min(cut).over(by_key))
     # for lines cut at one place: the first of these, or the line that is the variant; for that line: the first cut anywhere
     met = met.withColumn("witness", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.least("first", "own"))).filter(F.col("witness") < F.col("last"))
-    live = common.materialise(met.select("key", "place", "witness"), "live")
+    live = common.materialise(met.select("key", "place", "witness"), "live", path["live"])
     hit = keys.join(live, ["key", "place"]).filter(F.col("witness") < here)
     asked = hit.select(*PLACE, *[F.col(f"witness.{c}").alias(f"w_{c}") for c in PLACE]).distinct()
     text = some.select(F.col("line").alias("w_line"), *[F.col(c).alias(f"w_{c}") for c in PLACE])
     near = asked.join(text, [f"w_{c}" for c in PLACE]).join(some, PLACE).filter(F.levenshtein("line", "w_line", 1).between(0, 1))
-    gone = near.select(*PLACE).distinct().withColumn("gone", F.lit(True))
-    return lines.join(gone, PLACE, "left").select("line", *PLACE, F.col("gone").isNull().alias("keep"))
+    gone = common.materialise(near.select(*PLACE).distinct().withColumn("gone", F.lit(True)), "gone", path["gone"])
+    for k in ("alike", "live"):
+        common.drop_path(spark, path.pop(k))
+    return lines.join(gone, PLACE, "left").select("line", *PLACE, F.col("gone").isNull().alias("keep")), list(path.values())
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 12, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -142,10 +155,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 12, id_col: str = "doc_id", tex
     it in the same. Lines end at newlines; blank lines always stay. Lines under min_chars characters go only for
     equal ones. Rows of equal id and text are one document and keep the same lines. Null texts stay null; a text that
     loses all lines is empty. chars_col, if the table has it, gets the new length. An empty table gives no rows."""
-    kept = line_witnesses(docs, min_chars, id_col, text_col).filter("keep")
-    # numbers of the kept lines as 64-bit masks, by document
-    masks = kept.groupBy("doc", "th", F.expr("no div 64").cast("int").alias("b")).agg(F.expr("bit_or(shiftleft(1L, no % 64))").alias("m"))
-    stay = masks.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("b", "m"))).alias("__m")).withColumnsRenamed({"doc": "__doc", "th": "__th"})
+    spark = docs.sparkSession
+    with common.freed_shuffles(spark):
+        witnesses, read = _witnesses(docs, min_chars, id_col, text_col)
+        # numbers of the kept lines as 64-bit masks, by document
+        masks = witnesses.filter("keep").groupBy("doc", "th", F.expr("no div 64").cast("int").alias("b")).agg(F.expr("bit_or(shiftleft(1L, no % 64))").alias("m"))
+        stay = masks.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("b", "m"))).alias("__m")).withColumnsRenamed({"doc": "__doc", "th": "__th"})
+        stay = common.materialise(stay, "stay")
+    for p in read:
+        common.drop_path(spark, p)
     doc, th = _document(id_col, text_col)
     joined = docs.withColumns({"__doc": doc, "__th": th}).join(stay, ["__doc", "__th"], "left")
     dense = F.expr("aggregate(coalesce(__m, array()), cast(array() as array<bigint>), (a, x) -> concat(a, array_repeat(0L, x.b - size(a)), array(x.m)))")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from conftest_llm import SF, rows
@@ -80,6 +81,30 @@ def test_many_lines_in_one_document(spark):
     assert got == "\n".join(f"line {k} of it" for k in range(300)) + "\n"
 
 
+def test_disk_is_freed_on_the_way(spark):
+    """The steps leave no shuffle files, and of their tables only the masks that the result reads."""
+    env, path = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(common.shared_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def shuffled():
+        files = env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if "/shuffle_" in f}
+
+    def tables():
+        return {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+
+    docs = common.table(spark, SF, "documents")
+    files, written = shuffled(), tables()
+    got = lines.line_dedup(docs)
+    end = time.time() + 20
+    while shuffled() - files and time.time() < end:  # they go in the background
+        time.sleep(0.2)
+    assert not shuffled() - files
+    assert [t.split("-")[0] for t in tables() - written] == ["stay"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert got.count() == docs.count()
+
+
 def test_variants():
     some = ["abcd", "x", "aa", "é漢c"]
     line, place, key = lines.variants(some)
