@@ -82,8 +82,8 @@ class Encoder:
 
     def _runs(self, runs: set[str], lead: str, fresh: set[str] = frozenset()) -> dict[str, bytes]:
         """Ids of runs of letters or signs, of which fresh aren't known; those with a lead are kept under their names,
-        others after a zero byte."""
-        tag = "" if lead == self.lead else "\0"
+        others after a zero byte and a space, which no piece holds before a letter or sign."""
+        tag = "" if lead == self.lead else "\0 "
         known = {r: b for r in runs - fresh if (b := self.new.get(tag + r) or self.old.get(tag + r))}
         words, signs = list(fresh), []
         for r in runs - fresh - known.keys():

@@ -42,3 +42,9 @@ def test_small_cache(both, monkeypatch):
     monkeypatch.setattr(tokens, "LEARN", 2)
     for _ in range(3):
         same(both, ["one two, three.\nFour five", "two three  four", "Six 7 eight's one"])
+
+
+def test_zero_byte_before_a_known_run(both):
+    """Runs known without a space before them, and pieces that begin with a zero byte, aren't taken for each other."""
+    for texts in (["x.zq"], ["a \0zq"], ["a \0qz"], ["x.qz"], ["  \0zq \0  qz \0 zq"]):
+        same(both, texts)
