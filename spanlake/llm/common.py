@@ -8,6 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +111,18 @@ def bound_batches(spark: SparkSession, records: int = 2_000, size: str = "16m")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """All rows of the batch in order, in runs whose texts in column have at most size bytes; a longer text is a run of its own.
+
+    What a Python worker makes of a run at once, many times its bytes, stays small: workers are kept, with their memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def make_dir(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)

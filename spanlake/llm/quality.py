@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled texts as their distinct slots and shapes."""
-    for b in batches:
+    for b in (x for batch in batches for x in common.slices(batch, "__x")):
         row, slot, shape = features(b.column("__x").to_pylist())
         pairs = np.unique(row * SLOTS + slot)
         cuts = np.searchsorted(pairs // SLOTS, np.arange(1, len(shape)))
@@ -204,7 +204,7 @@ def evidence(docs: DataFrame, models: list[Model], host: Column, path: Column, i
     sent = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in common.slices(batch, "t")):
             got = features(b.column("t").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), b.column("host"), b.column("path"), *(pa.array(np.clip(m.evidence(*got), -30, 30)) for m in sent.value)], names=["doc_id", "th", "host", "path", "e0", "e1"])
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import SF
 from pyspark.sql import functions as F
@@ -92,3 +93,19 @@ def test_labels_that_differ_are_settled(spark, monkeypatch):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     quality.train(docs, labels)
     assert [sorted(x) for x in seen] == [[False, True], [False, True]]
+
+
+def test_a_batch_is_read_in_small_parts(monkeypatch):
+    """What a worker makes at once follows a bounded run of texts, not the batch; every row is there, in order, with the same values."""
+    texts = [None, "", *(f"word{k} Other{k % 7} 12 | " * (1 + k % 90) for k in range(2_000)), "long " * 200_000, None]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(list(range(n)), pa.int32()), pa.array(texts)], names=["__q", "__t", "__x"])
+    whole, sizes = quality.features(texts), []
+    plain = quality.features
+    monkeypatch.setattr(quality, "features", lambda some: sizes.append((len(some), sum(len(t or "") for t in some))) or plain(some))
+    got = [r for b in quality._lean(iter([batch])) for r in b.to_pylist()]
+    assert max(size for k, size in sizes if k > 1) <= 1 << 19 and sum(k for k, _ in sizes) == n
+    assert [r["t"] for r in got] == list(range(n))
+    assert b"".join(r["shape"] for r in got) == whole[2].astype("<f8").tobytes()
+    pairs = np.unique(whole[0] * quality.SLOTS + whole[1])
+    assert b"".join(r["slots"] for r in got) == (pairs % quality.SLOTS).astype("<i4").tobytes()
