@@ -7,6 +7,9 @@ combined before any shuffle - in two steps: running values within the bins of a
 quantiles of the positions of both sides, so each has about as many, however they crowd, spread or lie apart.
 The result joins back by equality on (keys, position).
 
+That is for crowded keys and for tables without keys. Where no key is crowded (load.py), both sides are dealt by their
+keys once and sorted within them, and each row takes the running values at its start and end where it stands among the events.
+
 Rows whose start is after their end are no intervals here: they overlap nothing and nothing overlaps them. Null
 keys and bounds match nothing.
 """
@@ -19,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators.bins import quantile_bins
+from spanlake.operators.load import Load, load
 from spanlake.operators.overlap import Binning, binned_pairs, overlaps, prefixed
-from spanlake.operators.spec import Bounds, ColumnLike, key_pairs
+from spanlake.operators.spec import Bounds, ColumnLike, is_integral, key_pairs
 
 
 def ranks(events: DataFrame, asked: DataFrame, keys: list[str], pos: str, sums: dict[str, Column]) -> DataFrame:
@@ -69,9 +73,54 @@ def _ask(q: DataFrame, b: DataFrame, keys: list[str], sums: dict[str, Column]) -
     return q
 
 
+def _load(q: DataFrame, b: DataFrame, keys: list[str], on) -> Load | None:
+    """How the rows of both sides are dealt over the keys; None without keys."""
+    far = F.greatest(F.abs(F.col("__s").cast("double")), F.abs(F.col("__e").cast("double")))
+    return load(q, b, *[[F.col(k) for k in keys]] * 2, far, far) if key_pairs(on) else None
+
+
+def _span_events(b: DataFrame, keys: list[str], **amounts: Column) -> DataFrame:
+    """One event for each row of b: at its start among ends (__p1), at its end among starts (__p2)."""
+    return b.select(*keys, F.col("__s").alias("__p1"), F.col("__e").alias("__p2"), *[x.alias(n) for n, x in amounts.items()])
+
+
+def _edge_events(b: DataFrame, keys: list[str], number: Column, **names: str) -> DataFrame:
+    """Two events for each row of b, at its start and its end: began, ended, depth (starts less ends) and moment (their positions)."""
+    def edge(at: str, sign: int) -> Column:
+        p = F.col(at)
+        return F.struct(p.alias("p"), F.lit(1 if sign > 0 else 0).cast("long").alias("began"), F.lit(1 if sign < 0 else 0).cast("long").alias("ended"), F.lit(sign).cast("long").alias("depth"), (p.cast(number) * sign).cast(number).alias("moment"))
+
+    x = b.select(*keys, F.explode(F.array(edge("__s", 1), edge("__e", -1))).alias("x"))
+    return x.select(*keys, F.col("x.p").alias("__p1"), F.col("x.p").alias("__p2"), *[F.col(f"x.{c}").alias(n) for c, n in names.items()])
+
+
+def _sweep(q: DataFrame, events: Sequence[DataFrame], keys: list[str], at_end: dict[str, str], at_start: dict[str, str], strict: bool = False) -> DataFrame:
+    """q with running sums of the events of its key: at_end has those up to its end, at_start those before its start (strict: before its end, up to its start).
+
+    One shuffle by the keys and two sorts within them; rows of q stand among the events."""
+    both = q.withColumn("__ev", F.lit(False))
+    for x in events:
+        both = both.unionByName(x.withColumn("__ev", F.lit(True)), allowMissingColumns=True)
+    event_first, event_last = F.col("__ev").desc(), F.col("__ev").asc()
+    place = [F.when(F.col("__ev"), F.col(p)).otherwise(F.col(at)) for p, at in (("__p1", "__e"), ("__p2", "__s"))]
+    for sums, where, tie in ((at_end, place[0], event_last if strict else event_first), (at_start, place[1], event_first if strict else event_last)):
+        upto = Window.partitionBy(*keys).orderBy(where, tie).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumns({n: F.coalesce(F.sum(x).over(upto), F.lit(0)) for n, x in sums.items()})
+    return both.filter(~F.col("__ev"))
+
+
 def count_overlaps(left: DataFrame, right: DataFrame, on: Sequence[str | tuple[ColumnLike, ColumnLike]] | None = None, left_bounds=("start", "end"), right_bounds=("start", "end"), strict: bool = False, name: str = "n_overlaps") -> DataFrame:
     """left with the number of right intervals that overlap each row; every row stays, duplicates too."""
     q, b, keys = _sides(left, right, on, left_bounds, right_bounds)
+    dealt = _load(q, b, keys, on)
+    if dealt and dealt.even:
+        point = F.when(F.col("__s") == F.col("__e"), 1).otherwise(0).cast("long")
+        q = _sweep(q, [_span_events(b, keys, __one=F.lit(1).cast("long"), __pt=point)], keys, {"__begun": "__one"} | ({"__pt1": "__pt"} if strict else {}), {"__ended": "__one"} | ({"__pt2": "__pt"} if strict else {}), strict)
+        count = F.col("__begun") - F.col("__ended")
+        if strict:  # points at a row that is a point itself were taken off without having been counted
+            count += F.when(F.col("__s") == F.col("__e"), F.col("__pt2") - F.col("__pt1")).otherwise(0)
+        count = F.when(F.col("__s").isNotNull(), count).otherwise(0).cast("long")
+        return q.select(*[F.col(f"`{c}`") for c in left.columns], count.alias(name))
     q = _ask(q, b, keys, {"bg": F.sum("__on"), "ed": F.sum(1 - F.col("__on"))})
     begun, ended = ("e_bg_lt", "s_ed_le") if strict else ("e_bg_le", "s_ed_lt")
     count = F.coalesce(begun, F.lit(0)) - F.coalesce(ended, F.lit(0))
@@ -112,6 +161,8 @@ def merge_intervals(df: DataFrame, on: Sequence[str] | None = None, bounds=("sta
     b, keys = Bounds.of(bounds), list(on or [])
     rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{b.start}`").alias("__s"), F.col(f"`{b.end}`").alias("__e")).filter("__s <= __e")
     rows = rows.dropna(subset=keys) if keys else rows
+    if keys and load(rows, rows.limit(0), *[[F.col(f"`{k}`") for k in keys]] * 2).even:
+        return _merged(rows, keys, gap).select(*[F.col(f"`{k}`") for k in keys], F.col("__s").alias(b.start), F.col("__e").alias(b.end), "n")
     by = keys or ["__all"]
     rows = rows if keys else rows.withColumn("__all", F.lit(0))
     held = rows.groupBy(*by, "__s").agg(F.max("__e").alias("__e"), F.count("*").alias("__n"))
@@ -129,15 +180,42 @@ def merge_intervals(df: DataFrame, on: Sequence[str] | None = None, bounds=("sta
     return group.groupBy(*by, "__g").agg(F.min("__s").alias(b.start), F.max("__e").alias(b.end), F.sum("__n").alias("n")).select(*[F.col(f"`{k}`") for k in keys], b.start, b.end, "n")
 
 
+def _merged(rows: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
+    """keys, __s, __e, n: unions of the intervals of a key, in one shuffle and one sort within the keys."""
+    order = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy("__s", "__e")
+    reach = F.max("__e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("__m", reach)
+    marked = marked.withColumn("__new", F.when(F.col("__m").isNull() | (F.col("__s") > F.col("__m") + gap), 1).otherwise(0))
+    marked = marked.withColumn("__g", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*[F.col(f"`{k}`") for k in keys], "__g").agg(F.min("__s").alias("__s"), F.max("__e").alias("__e"), F.count("*").alias("n")).drop("__g")
+
+
 def _wide(x: Column) -> Column:
     return x.cast("decimal(38,0)")
 
 
+def _number(q: DataFrame, b: DataFrame, dealt: Load) -> str:
+    """The type in which positions of a key can be summed."""
+    small = is_integral(q, F.col("__s"), F.col("__e")) and is_integral(b, F.col("__s"), F.col("__e")) and dealt.far * 4 * (dealt.most + 1) < 2.0**62
+    return "long" if small else "decimal(38,0)"
+
+
+def _covered(q: DataFrame) -> Column:
+    """Length covered between __s and __e, from depths and moments up to both: x * depth - moment up to x."""
+    number = q.schema["__te"].dataType.simpleString()
+    upto = [F.col(x).cast(number if number.startswith("decimal") else "long") * F.col(d) - F.col(t) for x, d, t in (("__e", "__de", "__te"), ("__s", "__ds", "__ts"))]
+    return F.when(F.col("__s").isNotNull(), upto[0] - upto[1]).otherwise(0).cast("long")
+
+
 def coverage_sum(left: DataFrame, right: DataFrame, on=None, left_bounds=("start", "end"), right_bounds=("start", "end"), count_name: str = "n_overlaps", name: str = "coverage") -> DataFrame:
     """left with the number of overlaps and the sum over them of min(ends) - max(starts): overlaps count repeatedly, lengths have no +1.
 
     Length covered up to x, with multiplicity, is the sum of x - start over starts before x less the sum of x - end over ends before x."""
     q, b, keys = _sides(left, right, on, left_bounds, right_bounds)
+    dealt = _load(q, b, keys, on)
+    if dealt and dealt.even:
+        q = _sweep(q, [_edge_events(b, keys, _number(q, b, dealt), began="__n1", ended="__n2", depth="__d", moment="__t")], keys, {"__begun": "__n1", "__de": "__d", "__te": "__t"}, {"__ended": "__n2", "__ds": "__d", "__ts": "__t"})
+        return q.select(*[F.col(f"`{c}`") for c in left.columns], F.when(F.col("__s").isNotNull(), F.col("__begun") - F.col("__ended")).otherwise(0).cast("long").alias(count_name), _covered(q).alias(name))
     on, p = F.col("__on"), _wide(F.col("__p"))
     q = _ask(q, b, keys, {"bg": F.sum(on), "ed": F.sum(1 - on), "tb": F.sum(F.when(on == 1, p)), "tz": F.sum(F.when(on == 0, p))})
 
@@ -155,6 +233,14 @@ def coverage_sum(left: DataFrame, right: DataFrame, on=None, left_bounds=("start
 def coverage_union(left: DataFrame, right: DataFrame, on=None, left_bounds=("start", "end"), right_bounds=("start", "end"), count_name: str = "n_overlaps", name: str = "covered") -> DataFrame:
     """left with the number of overlaps and how many of its positions, ends included, at least one right interval covers."""
     pairs, rb = key_pairs(on), Bounds.of(right_bounds)
+    q, b, keys = _sides(left, right, on, left_bounds, right_bounds)
+    dealt = _load(q, b, keys, on)
+    if dealt and dealt.even:
+        edges = _edge_events(_merged(b, keys), keys, _number(q, b, dealt), began="__m1", ended="__m2", depth="__d", moment="__t")
+        q = _sweep(q, [_span_events(b, keys, __one=F.lit(1).cast("long")), edges], keys, {"__begun": "__one", "__mb": "__m1", "__de": "__d", "__te": "__t"}, {"__ended": "__one", "__me": "__m2", "__ds": "__d", "__ts": "__t"})
+        real = F.col("__s").isNotNull()
+        count, touched = (F.when(real, F.col(x) - F.col(y)).otherwise(0).cast("long") for x, y in (("__begun", "__ended"), ("__mb", "__me")))
+        return q.select(*[F.col(f"`{c}`") for c in left.columns], count.alias(count_name), (_covered(q) + touched).alias(name))
     merged = merge_intervals(right, [b for _, b in pairs], rb, gap=0)
     got = coverage_sum(left, merged, on, left_bounds, rb, "__m", "__v")
     got = got.withColumn("__v", F.col("__v") + F.col("__m")).drop("__m")
