@@ -40,18 +40,18 @@ class Load:
         return self.even and self.pairs <= EACH * (self.left + self.right) and self.cell_pairs <= CELL_PAIRS
 
 
-def cells(left: DataFrame, right: DataFrame, lkeys: Sequence[Column], rkeys: Sequence[Column], lfar: Column | None = None, rfar: Column | None = None) -> DataFrame:
-    """__cell with the rows of both sides (__l, __r) whose keys hash to it, and the largest of lfar and rfar (__far)."""
-    l0, r0 = left.select(*[k.alias(f"k{i}") for i, k in enumerate(lkeys)], (F.lit(0) if lfar is None else lfar).cast("double").alias("__far")), right.select(*[k.alias(f"k{i}") for i, k in enumerate(rkeys)], (F.lit(0) if rfar is None else rfar).cast("double").alias("__far"))
+def cell_of(left: DataFrame, right: DataFrame, lkeys: Sequence[Column], rkeys: Sequence[Column]) -> tuple[Column, Column]:
+    """The cell of a row of either side; equal keys have one cell, also where their types differ."""
+    l0, r0 = left.select(*lkeys).schema.fields, right.select(*rkeys).schema.fields
+    kinds = [None if a.dataType == b.dataType else "double" if isinstance(a.dataType, T.NumericType) and isinstance(b.dataType, T.NumericType) else "string" for a, b in zip(l0, r0)]
+    return tuple(F.pmod(F.xxhash64(*[k if t is None else k.cast(t) for k, t in zip(keys, kinds)]), F.lit(CELLS)).cast("int") for keys in (lkeys, rkeys))
 
-    def cell(df: DataFrame) -> Column:
-        same = [l0.schema[f"k{i}"].dataType == r0.schema[f"k{i}"].dataType for i in range(len(lkeys))]
-        numbers = [isinstance(l0.schema[f"k{i}"].dataType, T.NumericType) and isinstance(r0.schema[f"k{i}"].dataType, T.NumericType) for i in range(len(lkeys))]
-        hashed = [F.col(f"k{i}") if s else F.col(f"k{i}").cast("double" if n else "string") for i, (s, n) in enumerate(zip(same, numbers))]
-        return F.pmod(F.xxhash64(*hashed), F.lit(CELLS)).cast("int").alias("__cell")
 
-    every = l0.select(cell(l0), F.lit(1).alias("l"), F.lit(0).alias("r"), "__far").union(r0.select(cell(r0), F.lit(0).alias("l"), F.lit(1).alias("r"), "__far"))
-    return every.groupBy("__cell").agg(F.sum("l").alias("__l"), F.sum("r").alias("__r"), F.max("__far").alias("__far"))
+def cells(left: DataFrame, right: DataFrame, lkeys: Sequence[Column], rkeys: Sequence[Column], lfar: Column | None = None, rfar: Column | None = None) -> DataFrame:
+    """__cell with the rows of both sides (__l, __r) whose keys hash to it, and the largest of lfar and rfar (__far)."""
+    at = cell_of(left, right, lkeys, rkeys)
+    one = [df.select(c.alias("__cell"), F.lit(n).alias("l"), F.lit(m).alias("r"), (F.lit(0) if x is None else x).cast("double").alias("__far")) for df, c, n, m, x in ((left, at[0], 1, 0, lfar), (right, at[1], 0, 1, rfar))]
+    return one[0].union(one[1]).groupBy("__cell").agg(F.sum("l").alias("__l"), F.sum("r").alias("__r"), F.max("__far").alias("__far"))
 
 
 def load(left: DataFrame, right: DataFrame, lkeys: Sequence[Column], rkeys: Sequence[Column], lfar: Column | None = None, rfar: Column | None = None) -> Load:

@@ -5,6 +5,10 @@ the two starts lies, so no distinct is needed. Bins have levels (each LEVEL time
 the level where it touches two bins at most, so one very long interval doesn't become millions of rows. A pair
 meets on the level of its longer interval; the shorter one is a guest there. If all lengths fit one level,
 which is the usual case, there are no guests and the plan is the plain binned join.
+
+Bins pay where a key has many rows. Where no key is crowded and keys have few pairs (load.py), the join is on the keys
+with the overlap as its condition, of any type, and each side is shuffled once. Where a bin has many pairs, it is cut
+into blocks: tasks follow from the pairs to compare, not from the bytes to read.
 """
 
 from __future__ import annotations
@@ -16,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanlake.operators.load import CELLS, cell_of, cells, load
 from spanlake.operators.spec import Bounds, ColumnLike, floor_div, is_integral, key_pairs
 
 #: Width of a level's bins over that of the level below, and bins an interval may have on the lowest level.
 LEVEL, LOWEST = 16, 8
+#: Comparisons of a task, about, and partitions at most that are asked for.
+TASK_PAIRS, MOST_TASKS = 20_000_000, 20_000
 JOIN_TYPES = {"inner": "inner", "left": "left", "leftouter": "left", "left_outer": "left", "right": "right", "rightouter": "right", "right_outer": "right", "full": "full", "outer": "full", "fullouter": "full", "full_outer": "full", "semi": "semi", "left_semi": "semi", "leftsemi": "semi", "anti": "anti", "left_anti": "anti", "leftanti": "anti"}
 
 
@@ -117,15 +124,22 @@ def overlap_join(
     if how is None:
         raise ValueError("unknown join type")
     lb, rb, pairs = Bounds.of(left_bounds), Bounds.of(right_bounds), key_pairs(on)
-    if how in ("semi", "anti") and condition is None and algorithm != "native":
+    by_keys = bool(pairs) and binning is None and algorithm != "native" and load(left, right, [F.col(f"`{a}`") for a, _ in pairs], [F.col(f"`{b}`") for _, b in pairs]).few_pairs
+    if how in ("semi", "anti") and condition is None and algorithm != "native" and not by_keys:
         return by_reach(left, right, pairs, lb, rb, strict, how)
     l0 = prefixed(left, left_prefix).withColumns({"__ls": _moved(left, lb.start, left_prefix), "__le": _moved(left, lb.end, left_prefix)} | {f"__lk{i}": _moved(left, a, left_prefix) for i, (a, _) in enumerate(pairs)})
     r0 = prefixed(right, right_prefix).withColumns({"__rs": _moved(right, rb.start, right_prefix), "__re": _moved(right, rb.end, right_prefix)} | {f"__rk{i}": _moved(right, b, right_prefix) for i, (_, b) in enumerate(pairs)})
     predicate = overlaps(F.col("__ls"), F.col("__le"), F.col("__rs"), F.col("__re"), strict)
     lcols, rcols = [left_prefix + c for c in left.columns], [right_prefix + c for c in right.columns]
-    if algorithm == "native":
+    if algorithm == "native" or by_keys:
         for i in range(len(pairs)):
             predicate &= F.col(f"__lk{i}") == F.col(f"__rk{i}")
+    if by_keys:
+        if condition is not None:
+            predicate &= condition(l0.join(r0, predicate))
+        met = l0.join(r0, predicate, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
+        return met.select(*[F.col(f"`{left_prefix}{c}`").alias(c) for c in left.columns]) if how in ("semi", "anti") else met.select(*lcols, *rcols)
+    if algorithm == "native":
         inner = l0.join(r0, predicate)
     else:
         inner = binned_pairs(l0, r0, ("__ls", "__le"), ("__rs", "__re"), [(f"__lk{i}", f"__rk{i}") for i in range(len(pairs))], predicate, binning)
@@ -193,14 +207,50 @@ def binned_pairs(left: DataFrame, right: DataFrame, lb: tuple[str, str], rb: tup
     a = _listed(left, ls, le, [F.col(k) for k, _ in keys], binning, integral, ">", "<")
     b = _listed(right, rs, re, [F.col(k) for _, k in keys], binning, integral, "<", ">")
     b = b.withColumnsRenamed({f"__k{i}": f"__j{i}" for i in range(len(keys))} | {"__lv": "__lv2", "__bin": "__bin2", "__tag": "__tag2"})
-    same = (F.col("__bin") == F.col("__bin2")) & predicate
-    if binning.levels > 1:
-        same &= (F.col("__lv") == F.col("__lv2")) & (F.col("__tag") == F.col("__tag2"))
-    for i in range(len(keys)):
-        same &= F.col(f"__k{i}") == F.col(f"__j{i}")
+    where = [("__bin", "__bin2"), *([("__lv", "__lv2"), ("__tag", "__tag2")] if binning.levels > 1 else []), *[(f"__k{i}", f"__j{i}") for i in range(len(keys))]]
+    if not (left.isStreaming or right.isStreaming):
+        a, b, where = _in_blocks(a, b, where)
+    same = predicate
+    for x, y in where:
+        same &= F.col(x) == F.col(y)
     later = F.greatest(ls, rs)
     bin_of = floor_div(later, binning.size, integral)
     for level in range(1, binning.levels):
         bin_of = F.when(F.col("__lv") == level, floor_div(later, binning.width(level), integral)).otherwise(bin_of)
-    drop = [f"__{x}{i}" for i in range(len(keys)) for x in "kj"] + ["__lv", "__bin", "__tag", "__lv2", "__bin2", "__tag2"]
+    drop = [f"__{x}{i}" for i in range(len(keys)) for x in "kj"] + ["__lv", "__bin", "__tag", "__lv2", "__bin2", "__tag2", "__block", "__block2"]
     return a.join(b, same & (F.col("__bin") == bin_of)).drop(*drop)
+
+
+def _in_blocks(a: DataFrame, b: DataFrame, where: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+    """The listed rows of both sides dealt to as many tasks as their comparisons need, and the columns in which pairs agree.
+
+    In bins with more comparisons than a task should have, the rows of the larger side are cut into blocks by hash and
+    those of the smaller one are in every block. Counting the rows of bins is one pass; few comparisons leave the sides as they are."""
+    at = cell_of(a, b, [F.col(x) for x, _ in where], [F.col(y) for _, y in where])
+    found = cells(a, b, [F.col(x) for x, _ in where], [F.col(y) for _, y in where])
+    total = found.agg(F.sum("__l").alias("l"), F.sum("__r").alias("r")).first()
+    n, m = total.l or 0, total.r or 0
+    if float(n) * m <= TASK_PAIRS:
+        return a, b, where
+    product = F.greatest(F.col("__l").cast("double") * F.col("__r") - float(n) * m / CELLS**2, F.lit(0.0))  # less what bins that only share a cell add
+    crowded = F.when(product > TASK_PAIRS, F.struct("__cell", F.ceil(product / TASK_PAIRS).cast("int").alias("__blocks")))
+    got = found.agg(F.sum(product).alias("pairs"), F.collect_list(crowded).alias("crowded")).first()
+    tasks = min(MOST_TASKS, int(got.pairs / TASK_PAIRS) + 1)
+    if tasks == 1:
+        return a, b, where
+    spark = a.sparkSession
+    if got.crowded:
+        blocks = F.broadcast(spark.createDataFrame([tuple(x) for x in got.crowded], "__cell int, __blocks int"))
+        a, b = (df.withColumn("__cell", c).join(blocks, "__cell", "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1))).drop("__cell") for df, c in zip((a, b), at))
+        sides = [(a, "__block"), (b, "__block2")]
+        for i, (df, name) in enumerate(sides):
+            if (n >= m) == (i == 0):
+                told = [F.col(f"`{c}`") for c, f in zip(df.columns, df.schema.fields) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+                df = df.withColumn(name, F.pmod(F.xxhash64(*told), F.col("__blocks")).cast("int"))
+            else:
+                df = df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+            sides[i] = df.drop("__blocks"), name
+        (a, _), (b, _) = sides
+        where = [*where, ("__block", "__block2")]
+    tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return a.repartition(tasks, *[x for x, _ in where]), b.repartition(tasks, *[y for _, y in where]), where
