@@ -254,12 +254,28 @@ def nearest(left: DataFrame, right: DataFrame, on=None, left_bounds=("start", "e
     Ties go to the smaller start, then end, then the other columns in order. Distance is how far apart the closer ends are.
     With strict, intervals that only touch don't overlap; they are nearest at distance 0. For rows without an overlap only two
     candidates are looked at: the last that ends before and the first that starts after. For others the smallest of
-    their overlapping rows is combined before the shuffle."""
+    their overlapping rows is combined before the shuffle. Where no key is crowded and keys have few pairs, each
+    row is compared with the list of its key instead: both sides are shuffled once."""
     pairs, lb, rb = key_pairs(on), Bounds.of(left_bounds), Bounds.of(right_bounds)
     rest = [c for c in right.columns if c not in (rb.start, rb.end)]
     row = F.struct(F.col(f"`{rb.start}`").alias("__s"), F.col(f"`{rb.end}`").alias("__e"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(rest)])
     q, _, keys = _sides(left, right, on, lb, rb)
     b = right.withColumn("__row", row).select(*[F.col(f"`{c}`").alias(k) for k, (_, c) in zip(keys, pairs)], *([] if pairs else [F.lit(0).alias("__k0")]), F.col("__row.__s").alias("__s"), F.col("__row.__e").alias("__e"), "__row").filter("__s <= __e").dropna(subset=keys)
+    if pairs and binning is None and is_integral(q, F.col("__s"), F.col("__e")) and is_integral(b, F.col("__s"), F.col("__e")) and load(q, b, *[[F.col(k) for k in keys]] * 2).few_pairs:
+        lists = b.groupBy(*keys).agg(F.collect_list("__row").alias("__rows"))
+        s, e, furthest = F.col("__s"), F.col("__e"), F.lit((1 << 63) - 1)
+
+        def place(x: Column) -> Column:
+            """Overlapping rows first, then by distance, then by the row."""
+            away = F.when(x["__s"] > e, F.try_subtract(x["__s"].cast("long"), e.cast("long"))).when(s > x["__e"], F.try_subtract(s.cast("long"), x["__e"].cast("long"))).otherwise(0)
+            return F.struct((~overlaps(s, e, x["__s"], x["__e"], strict)).alias("o"), F.coalesce(away, furthest).alias("d"), x.alias("x"))
+
+        got = q.join(lists, keys, "left").withColumn("__best", F.when(s.isNotNull(), F.array_min(F.transform("__rows", place))))
+        got = got.withColumns({"__row": F.col("__best.x"), "__beside": F.col("__best.o")})
+        x = F.col("__row")
+        away = F.when(x["__s"] > e, x["__s"] - e).when(s > x["__e"], s - x["__e"]).otherwise(0)
+        got = got.withColumn("__d", F.when(F.col("__beside"), away).when(x.isNotNull(), 0))
+        return _with_row(got, left, right, rb, rest, right_prefix, distance)
     asked = q.select(*keys, "__s", "__e").dropna().distinct()
     # overlapping
     l0, r0 = prefixed(asked, "q"), prefixed(b, "b")
@@ -274,7 +290,11 @@ def nearest(left: DataFrame, right: DataFrame, on=None, left_bounds=("start", "e
     db, da = F.col("__s") - F.col("__before.__e"), F.col("__after.__s") - F.col("__e")
     chosen = F.when(F.col("__hit").isNotNull(), F.col("__hit")).when(db.isNull(), F.col("__after")).when(da.isNull() | (db <= da), F.col("__before")).otherwise(F.col("__after"))
     away = F.when(F.col("__hit").isNotNull(), F.lit(0)).otherwise(F.least(db, da))
-    got = got.withColumns({"__row": chosen, "__d": away})
+    return _with_row(got.withColumns({"__row": chosen, "__d": away}), left, right, rb, rest, right_prefix, distance)
+
+
+def _with_row(got: DataFrame, left: DataFrame, right: DataFrame, rb: Bounds, rest: list[str], right_prefix: str, distance: str) -> DataFrame:
+    """The columns of left, those of right from __row, and __d."""
     names = {rb.start: "__row.__s", rb.end: "__row.__e"} | {c: f"__row.__c{i}" for i, c in enumerate(rest)}
     return got.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(names[c]).alias(right_prefix + c) for c in right.columns], F.col("__d").alias(distance))
 
