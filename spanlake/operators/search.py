@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators.bins import quantile_bins
-from spanlake.operators.overlap import LOWEST, Binning, choose_binning, levels_for, overlap_join, prefixed
+from spanlake.operators.load import load
+from spanlake.operators.overlap import LOWEST, Binning, choose_binning, levels_for, overlap_join, overlaps, prefixed
 from spanlake.operators.spec import Bounds, floor_div, is_integral, key_pairs
 
 
@@ -58,8 +59,11 @@ def contains(outer: DataFrame, inner: DataFrame, on=None, outer_bounds=("start",
 def with_index(df: DataFrame, on=None, bounds=("start", "end"), name: str = "idx") -> DataFrame:
     """df with each row's place in its key in the order of start, then end descending; from 0.
 
-    Places are ranks within bins of the starts plus the rows of the bins before, so one key isn't one task's."""
+    Places are ranks within bins of the starts plus the rows of the bins before, so one key isn't one task's. Where
+    no key is crowded, they are ranks within keys."""
     b, keys = Bounds.of(bounds), [f"`{k}`" for k, _ in key_pairs(on)]
+    if keys and load(df, df.limit(0), *[[F.col(k) for k in keys]] * 2).even:
+        return _ranked(df, keys, b, name)
     s = F.col(f"`{b.start}`")
     binned = quantile_bins([(df, s)])(df, f"`{b.start}`")
     counts = binned.groupBy(*[F.col(k) for k in keys], "__b").agg(F.count("*").alias("__n"))
@@ -74,17 +78,34 @@ def with_index(df: DataFrame, on=None, bounds=("start", "end"), name: str = "idx
     return binned.withColumn("__r", rank).join(counts, same).select(*rest, (F.col("__n") + F.col("__r") - 1).cast("long").alias(name))
 
 
+def _ranked(df: DataFrame, keys: list[str], b: Bounds, name: str) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.col(f"`{b.start}`").asc(), F.col(f"`{b.end}`").desc(), *[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn(name, (F.row_number().over(order) - 1).cast("long"))
+
+
 def search_arrays(queries: DataFrame, intervals: DataFrame, on=None, query_bounds=("start", "end"), bounds=("start", "end"), value: str | None = None, what: str = "keys", name: str = "found", strict: bool = False) -> DataFrame:
     """queries with an array of what they overlap, in the order of the intervals (start, then end descending).
 
     what: "keys" (start, end), "idxs" (places as in with_index), "values" (the value column) or "items" (start, end, value).
-    Queries without an overlap have an empty array; equal queries have equal arrays, found once."""
+    Queries without an overlap have an empty array; equal queries have equal arrays, found once. Where no key is crowded and
+    keys have few pairs, each query takes its part of the list of its key."""
     qb, b, pairs = Bounds.of(query_bounds), Bounds.of(bounds), key_pairs(on)
+    parts = {"keys": ["start", "end"], "items": ["start", "end", "value"], "values": ["value"], "idxs": []}[what]
+    if pairs and load(queries, intervals, [F.col(f"`{x}`") for x, _ in pairs], [F.col(f"`{y}`") for _, y in pairs]).few_pairs:
+        known = {"start": b.start, "end": b.end, "value": value}
+        item = F.struct(F.col("__idx").alias("__i"), F.col(f"`{b.start}`").alias("__s"), F.col(f"`{b.end}`").alias("__e"), *[(F.col(f"`{known[p]}`") if known[p] else F.lit(None)).alias(p) for p in parts])
+        lists = _ranked(intervals, [f"`{y}`" for _, y in pairs], b, "__idx").groupBy(*[F.col(f"`{y}`").alias(f"__q{i}") for i, (_, y) in enumerate(pairs)]).agg(F.sort_array(F.collect_list(item)).alias("__f"))
+        same = F.lit(True)
+        for i, (x, _) in enumerate(pairs):
+            same &= queries[x] == F.col(f"__q{i}")
+        met = F.filter("__f", lambda x: overlaps(queries[qb.start], queries[qb.end], x["__s"], x["__e"], strict))
+        found = F.transform(met, lambda x: x["__i"] if what == "idxs" else x["value"] if what == "values" else F.struct(*[x[p].alias(p) for p in parts]))
+        got = queries.join(lists, same, "left").select(*[queries[c] for c in queries.columns], found.alias(name))
+        return got.withColumn(name, F.coalesce(name, F.array().cast(got.schema[name].dataType)))
     placed = with_index(intervals, [y for _, y in pairs], b, "__idx")
     used = [a for a, _ in pairs] + [qb.start, qb.end]
     asked = queries.select(*[F.col(f"`{c}`") for c in dict.fromkeys(used)]).distinct()
     met = overlap_join(asked, placed, on, qb, b, strict=strict)
-    parts = {"keys": ["start", "end"], "items": ["start", "end", "value"], "values": ["value"], "idxs": []}[what]
     col = {"start": F.col(f"`r_{b.start}`"), "end": F.col(f"`r_{b.end}`"), "value": F.col(f"`r_{value}`") if value else F.lit(None)}
     item = F.struct(F.col("r___idx").alias("__i"), *[col[p].alias(p) for p in parts])
     ids = [F.col(f"`l_{c}`").alias(f"__q{i}") for i, c in enumerate(asked.columns)]
